@@ -297,6 +297,59 @@ FROM labelled l LEFT JOIN mom m1 ON m1.match_id = l.match_id AND m1.side = 1
 LEFT JOIN mom m2 ON m2.match_id = l.match_id AND m2.side = 2""",
 }
 
+CTES.update(
+    {
+        "squads": """
+SELECT team, player_id, CASE WHEN min(k) % 3 = 0 THEN 1 ELSE 0 END AS is_overseas FROM (
+  SELECT concat('T', CAST(c_custkey % 10 AS VARCHAR)) AS team, (c_custkey // 10) % 18 AS k,
+         concat('T', CAST(c_custkey % 10 AS VARCHAR), '_', CAST((c_custkey // 10) % 18 AS VARCHAR)) AS player_id FROM customer) x
+GROUP BY team, player_id""",
+        "train_rows": """
+SELECT * EXCLUDE (m_runs, m_wickets), CASE role WHEN 'batter' THEN 0 WHEN 'bowler' THEN 1 ELSE 2 END AS role_encoded,
+       coalesce(m_runs, avg(m_runs) OVER (PARTITION BY player_id), avg(m_runs) OVER ()) AS momentum_runs,
+       coalesce(m_wickets, avg(m_wickets) OVER (PARTITION BY player_id), avg(m_wickets) OVER ()) AS momentum_wickets
+FROM (SELECT *, 0.5 * lag(runs, 1) OVER w + 0.3 * lag(runs, 2) OVER w + 0.2 * lag(runs, 3) OVER w AS m_runs,
+             0.5 * lag(wickets, 1) OVER w + 0.3 * lag(wickets, 2) OVER w + 0.2 * lag(wickets, 3) OVER w AS m_wickets,
+             coalesce(stddev_samp(runs) OVER p5, 0.0) AS std_runs, coalesce(stddev_samp(wickets) OVER p5, 0.0) AS std_wickets
+      FROM feat
+      WINDOW w AS (PARTITION BY player_id ORDER BY date, match_id),
+             p5 AS (PARTITION BY player_id ORDER BY date, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) x""",
+        "recent": """
+SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY date DESC, match_id DESC) AS recency,
+       row_number() OVER (PARTITION BY team, player_id ORDER BY date DESC, match_id DESC) AS team_recency FROM base""",
+        "recent_w": """
+SELECT *, list_extract([0.22, 0.18, 0.15, 0.12, 0.10, 0.08, 0.07, 0.05, 0.02, 0.01], recency) AS w10,
+       CASE WHEN recency <= 5 THEN list_extract([0.35, 0.25, 0.18, 0.12, 0.10], recency) END AS w5 FROM recent WHERE recency <= 10""",
+        "form_tab": """
+SELECT player_id, count(DISTINCT CASE WHEN recency <= 5 THEN match_id END) AS n_matches_last_5, count(DISTINCT match_id) AS n_matches_last_10,
+       sum(runs * w5) / sum(w5) AS weighted_avg_runs_last_5, sum(wickets * w5) / sum(w5) AS weighted_avg_wk_last_5,
+       sum(runs * w10) / sum(w10) AS weighted_avg_runs_last_10, sum(wickets * w10) / sum(w10) AS weighted_avg_wk_last_10,
+       least(count(DISTINCT match_id) / 10.0, 1.0) AS data_confidence
+FROM recent_w GROUP BY player_id""",
+        "selection": """
+SELECT team, player_id, max(CASE WHEN team_recency = 1 THEN role END) AS role,
+       count(DISTINCT CASE WHEN team_recency <= 5 THEN match_id END) AS matches_last_5, count(DISTINCT match_id) AS matches_last_10,
+       0.6 * (count(DISTINCT CASE WHEN team_recency <= 5 THEN match_id END) / 5.0) + 0.4 * (count(DISTINCT match_id) / 10.0) AS selection_score
+FROM recent WHERE team_recency <= 10 GROUP BY team, player_id""",
+        "scored_sel": """
+SELECT team, player_id, role, matches_last_5, matches_last_10,
+       selection_score - 0.001 * ((CAST(split_part(player_id, '_', 2) AS INTEGER) * 7) % 15) AS selection_score FROM selection""",
+        "picked": """
+SELECT *, row_number() OVER (PARTITION BY team, pick <= 11 ORDER BY selection_score DESC, player_id) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY team ORDER BY quota DESC, selection_score DESC, player_id) AS pick FROM (
+    SELECT *, CASE WHEN (role = 'batter' AND in_role <= 4) OR (role = 'bowler' AND in_role <= 3) OR (role = 'allrounder' AND in_role <= 2) THEN 1 ELSE 0 END AS quota
+    FROM (SELECT *, row_number() OVER (PARTITION BY team, role ORDER BY selection_score DESC, player_id) AS in_role FROM scored_sel) a) b) c""",
+        "decided": """
+SELECT *, row_number() OVER (ORDER BY match_date, match_id) AS rn, count(*) OVER () AS n FROM mrows WHERE winner IN ('team1', 'team2')""",
+        "own_team": """
+SELECT match_id, match_date, CASE WHEN team1_name = 'T3' THEN team1_total_runs ELSE team2_total_runs END AS own_runs,
+       CASE WHEN team1_name = 'T3' THEN team2_total_runs ELSE team1_total_runs END AS opp_runs,
+       CASE WHEN (team1_name = 'T3' AND winner = 'team1') OR (team2_name = 'T3' AND winner = 'team2') THEN 1 ELSE 0 END AS win,
+       CASE WHEN team1_name = 'T3' THEN team1_total_runs - team2_total_runs ELSE team2_total_runs - team1_total_runs END AS margin
+FROM mrows WHERE winner IN ('team1', 'team2') AND (team1_name = 'T3' OR team2_name = 'T3')""",
+    }
+)
+
 _WORD = re.compile(r"[a-z_0-9]+")
 
 

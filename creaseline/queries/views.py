@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.plans import features, matches, profiles, stats
+from creaseline.plans import features, form, matches, profiles, stats
 from creaseline.session import stage_table
 
 ROSTER = 15
@@ -123,3 +123,24 @@ def match_rows_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "match_rows", lambda: match_rows_plan(spark, sf_dir))
+
+
+def squads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighteen squad names per team, the last three without any appearance; every third is overseas."""
+    keys = table(spark, sf_dir, "customer").selectExpr(
+        "concat('T', c_custkey % 10) AS team", "(c_custkey div 10) % 18 AS k"
+    )
+    named = keys.groupBy("team", "k").agg(F.lit(1).alias("one"))
+    return named.select(
+        "team",
+        F.concat("team", F.lit("_"), F.col("k").cast("string")).alias("player_id"),
+        F.when(F.col("k") % 3 == 0, 1).otherwise(0).alias("is_overseas"),
+    )
+
+
+def scored_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection table with scores spread a little by roster number, so that picks do not all tie."""
+    rows = features.with_team_and_rates(player_match(spark, sf_dir))
+    number = F.element_at(F.split("player_id", "_"), 2).cast("int")
+    spread = F.col("selection_score") - F.lit(0.001) * ((number * 7) % 15)
+    return form.selection_table(rows).withColumn("selection_score", spread)
