@@ -104,6 +104,6 @@ def ordered_slugs_equal(a: Column | str, b: Column | str) -> Column:
 
 def player_list(c: Column | str) -> Column:
     """Names of a comma list, or of lines where ``#`` starts a comment line."""
-    lines = F.filter(F.transform(F.split(_col(c), "\n"), F.trim), lambda x: ~x.startswith("#"))
-    names = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, ","), F.trim)))
+    lines = F.filter(F.transform(F.split(_col(c), "\n"), lambda x: F.trim(x)), lambda x: ~x.startswith("#"))
+    names = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda x: F.trim(x))))
     return F.filter(names, lambda x: x != "")

@@ -9,6 +9,7 @@ from creaseline.functions.franchise import canonical_franchise, is_league_row
 from creaseline.functions.text import clip
 from creaseline.operators.quantiles import exact_medians
 from creaseline.plans.stats import innings_table
+from creaseline.session import stage_table
 
 RATIOS = ("bat_first_ratio", "chase_ratio", "pp_bat_ratio", "bowl_first_stingy", "bowl_second_stingy")
 DOMINANCE = ("bat_dom", "bowl_dom", "field_dom")
@@ -133,7 +134,9 @@ def merge_franchises(teams: DataFrame) -> DataFrame:
 
 def franchise_profiles(deliveries: DataFrame) -> DataFrame:
     innings = league_innings(deliveries)
-    return merge_franchises(with_dominance(team_ratios(team_innings_means(innings), league_baselines(innings))))
+    # One row per team from here on; written once because medians and moments read it again.
+    ratios = stage_table(team_ratios(team_innings_means(innings), league_baselines(innings)), "team_ratios")
+    return merge_franchises(with_dominance(ratios))
 
 
 def with_profiles(rows: DataFrame, profiles: DataFrame, team1: str = "team1_name", team2: str = "team2_name") -> DataFrame:

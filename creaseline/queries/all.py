@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from creaseline.queries import core, tables  # noqa: F401
+from creaseline.queries import core, scalars, tables  # noqa: F401
 from creaseline.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,7 @@ from creaseline.operators.windows import last_per_key
 from creaseline.plans import diagnostics, evaluation, features, form, matches, profiles, stats
 from creaseline.queries import views
 from creaseline.queries.registry import query, r, rounded
+from creaseline.session import stage_table
 
 
 def _team_rates(spark, sf):
@@ -171,7 +172,8 @@ def _(spark, sf):
 
 @query("d16_dominance_zscores", f"SELECT team, {r(*profiles.DOMINANCE)} FROM team_dom")
 def _(spark, sf):
-    return rounded(profiles.with_dominance(_ratios(spark, sf)).select("team", *profiles.DOMINANCE))
+    ratios = stage_table(_ratios(spark, sf), "team_ratios")
+    return rounded(profiles.with_dominance(ratios).select("team", *profiles.DOMINANCE))
 
 
 _PROF = (*profiles.RATIOS, *profiles.DOMINANCE)
@@ -179,7 +181,7 @@ _PROF = (*profiles.RATIOS, *profiles.DOMINANCE)
 
 @query("d17_franchise_profiles", f"SELECT franchise, CAST(n_innings_bat_1 AS BIGINT) AS n_innings_bat_1, CAST(n_innings_bat_2 AS BIGINT) AS n_innings_bat_2, {r(*_PROF)} FROM prof")
 def _(spark, sf):
-    return rounded(views.profile_table(spark, sf))
+    return rounded(profiles.franchise_profiles(views.deliveries(spark, sf)))
 
 
 @query(

@@ -109,7 +109,7 @@ def official_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.franchise_profiles(deliveries(spark, sf_dir))
+    return staged(spark, sf_dir, "profiles", lambda: profiles.franchise_profiles(deliveries(spark, sf_dir)))
 
 
 def match_rows_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,3 +144,60 @@ def scored_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.element_at(F.split("player_id", "_"), 2).cast("int")
     spread = F.col("selection_score") - F.lit(0.001) * ((number * 7) % 15)
     return form.selection_table(rows).withColumn("selection_score", spread)
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messy text cells, as a badly typed file would hold them."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_linenumber AS line", "l_returnflag AS kind",
+        """CASE l_linenumber % 4 WHEN 0 THEN 'abc' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) WHEN 2 THEN '' END AS num_text""",
+        """CASE l_linenumber WHEN 1 THEN ' nan ' WHEN 2 THEN 'None' WHEN 3 THEN '<NA>' WHEN 4 THEN NULL ELSE concat('  ', l_returnflag, ' ') END AS label""",
+        """CASE l_linenumber % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2.5' WHEN 3 THEN 'x' ELSE '' END AS flag_text""",
+        """CASE l_linenumber % 3 WHEN 0 THEN '2024-01-32' WHEN 1 THEN '2024-02-10' ELSE 'n/a' END AS date_text""",
+        """CASE l_linenumber % 4 WHEN 0 THEN ' True' WHEN 1 THEN 'no' WHEN 2 THEN 'YES' ELSE 'maybe' END AS bool_text""",
+    )
+
+
+def raw_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balls of a dialect with component extras and totals as text."""
+    text = "CAST(CAST(l_quantity AS BIGINT) % 7 AS STRING)"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey div 25 AS match_id", "l_linenumber AS line",
+        f"CASE WHEN l_linenumber % 2 = 0 THEN {text} END AS runs_off_bat",
+        f"CASE WHEN l_linenumber % 3 = 0 THEN '1' END AS extras",
+        "CASE WHEN l_linenumber = 1 THEN '1' END AS wides", "CASE WHEN l_linenumber = 2 THEN '1' END AS noballs",
+        "CASE WHEN l_linenumber = 4 THEN '4' END AS byes", "CASE WHEN l_linenumber = 5 THEN '2' END AS legbyes",
+        "CAST(NULL AS STRING) AS penalty", "CAST(CAST(l_quantity AS BIGINT) AS STRING) AS total_runs",
+        "CASE WHEN l_linenumber = 6 THEN 'Wide ' WHEN l_linenumber = 7 THEN 'noball' END AS extras_type",
+        "CASE WHEN l_linenumber = 3 THEN '1' END AS is_wide", "CASE WHEN l_linenumber = 5 THEN '2' END AS is_noball",
+    )
+
+
+FRANCHISE_SPELLINGS = (
+    "'MI', 'Kings XI Punjab', ' punjab kings ', 'Royal Challengers Bengaluru', 'RCB', 'Some New Team', 'SRH', 'Gujarat Titans', 'LSG', 'kkr'"
+)
+
+
+def spelled_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match ids with two franchise spellings each."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS match_id",
+        f"element_at(array({FRANCHISE_SPELLINGS}), CAST(o_orderkey % 10 + 1 AS INT)) AS a",
+        f"element_at(array({FRANCHISE_SPELLINGS}), CAST(o_custkey % 10 + 1 AS INT)) AS b",
+    )
+
+
+CITIES = "'Bengaluru', 'Mumbai', 'Chennai', 'Delhi', 'Ahmedabad', 'New Chandigarh', 'Pune', ' Jaipur ', 'Lucknow', 'Guwahati'"
+
+
+def fixture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scheduled fixture per match: number, date, sides, city and stadium text."""
+    by_match = deliveries(spark, sf_dir).groupBy("match_id").agg(
+        F.min("date").alias("date"),
+        F.min(F.when(F.col("innings") == 1, F.col("batting_team"))).alias("home_team"),
+        F.min(F.when(F.col("innings") == 1, F.col("bowling_team"))).alias("away_team"),
+    )
+    return by_match.selectExpr(
+        "match_id AS match_no", "date", "home_team", "away_team",
+        f"element_at(array({CITIES}), CAST(match_id % 10 + 1 AS INT)) AS venue_city",
+    )
