@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creaseline.session import stage_table
+
 GRAM = 4
 
 
@@ -20,8 +22,9 @@ def _grams(text: Column, size: int) -> Column:
 
 def containing_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
     """All (needle, haystack) pairs where the haystack contains the needle."""
-    n = needles.select(F.col(needle).alias("_needle")).where(F.col("_needle") != "").distinct()
-    h = haystacks.select(F.col(haystack).alias("_hay")).where(F.col("_hay") != "").distinct()
+    # Both lists are read several times below; written once, their inputs are evaluated once.
+    n = stage_table(needles.select(F.col(needle).alias("_needle")).where(F.col("_needle") != "").distinct(), "needles")
+    h = stage_table(haystacks.select(F.col(haystack).alias("_hay")).where(F.col("_hay") != "").distinct(), "haystacks")
     index_parts = [
         h.select("_hay", F.explode(_grams(F.col("_hay"), size)).alias("_gram")) for size in range(1, GRAM + 1)
     ]

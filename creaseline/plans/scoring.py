@@ -18,6 +18,7 @@ from creaseline.operators.containment import best_loose_match, loose_name_pairs,
 from creaseline.operators.windows import top_per_key
 from creaseline.plans.features import strength_by_role
 from creaseline.plans.form import UNKNOWN_CONFIDENCE
+from creaseline.session import stage_table
 
 XI_SIZE, MAX_SQUAD = 11, 12
 
@@ -159,6 +160,7 @@ def with_latest_opponent_strength(players: DataFrame, past: DataFrame) -> DataFr
         F.max_by("past_batting_strength", F.when(F.col("past_batting_strength").isNotNull(), order)).alias("_bat"),
         F.max_by("past_bowling_strength", F.when(F.col("past_bowling_strength").isNotNull(), order)).alias("_bowl"),
     )
+    latest = stage_table(latest, "latest_strength")
     asked = players.select(squeeze("opponent").alias("_asked")).where(F.col("_asked") != "").distinct()
     matched = best_loose_match(asked, latest.select("_known"), "_asked", "_known").join(latest, "_known").drop("_known")
     joined = players.join(matched, squeeze("opponent") == F.col("_asked"), "left")

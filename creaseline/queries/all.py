@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from creaseline.queries import core, scalars, tables  # noqa: F401
-from creaseline.queries.registry import ORACLES, QUERIES
+from creaseline.queries import core, fixtures, logs, names, scalars, tables  # noqa: F401
+from creaseline.queries.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

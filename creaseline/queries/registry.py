@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -42,3 +42,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def r(*columns: str, digits: int = 6) -> str:
     """SQL counterpart of :func:`rounded` for the named columns."""
     return ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, {digits}) + 0.0 AS {c}" for c in columns)
+
+
+def oracles() -> dict[str, str]:
+    """Complete SQL of every checked query."""
+    return {name: with_tables(sql) for name, sql in ORACLES.items()}

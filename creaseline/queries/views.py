@@ -201,3 +201,194 @@ def fixture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         "match_id AS match_no", "date", "home_team", "away_team",
         f"element_at(array({CITIES}), CAST(match_id % 10 + 1 AS INT)) AS venue_city",
     )
+
+
+FIRST_NAMES = "'Ravi', 'Virat', 'Rohit', 'Mitchell', 'Jos', 'Kane', 'Sam', 'Thomas'"
+LAST_NAMES = "'Sharma', 'Kohli', 'Starc', 'Curran', 'Khan', 'Patel', 'Singh', 'Ali', 'Yadav'"
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers read as players: team, full name, initial form, a misspelling and the spelling asked for."""
+    named = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k", "concat('T', c_custkey % 10) AS team",
+        f"element_at(array({FIRST_NAMES}), CAST((c_custkey div 10) % 8 + 1 AS INT)) AS first",
+        f"element_at(array({LAST_NAMES}), CAST((c_custkey div 80) % 9 + 1 AS INT)) AS last",
+    )
+    return named.selectExpr(
+        "k", "team", "concat(first, ' ', last) AS full_name", "concat(substring(first, 1, 1), ' ', last) AS stats_id",
+        "concat(first, ' ', last, last) AS long_name",
+        """CASE k % 5 WHEN 0 THEN concat(first, ' ', last) WHEN 1 THEN concat(' ', upper(substring(first, 1, 1)), '. ', last)
+           WHEN 2 THEN concat(first, 'e ', last) WHEN 3 THEN concat(substring(first, 1, 1), ' ', last) ELSE upper(concat(first, '  ', last)) END AS asked""",
+    )
+
+
+def named_squads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squads by full name; two first names with one initial make a signature ambiguous."""
+    p = people(spark, sf_dir).where("k % 7 <> 3")
+    return p.groupBy("team", F.col("full_name").alias("player_id")).agg(
+        F.max((F.col("k") % 3 == 0).cast("int")).alias("is_overseas")
+    )
+
+
+def alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full names as aliases of the initial form, some also of a longer id at another priority."""
+    p = people(spark, sf_dir).where("k % 4 <> 1")
+    rows = p.selectExpr("stats_id AS canonical_id", "full_name AS alias_string", "'seed' AS source", "1 AS priority").unionByName(
+        p.where("k % 8 = 2").selectExpr("concat(stats_id, ' jr') AS canonical_id", "full_name AS alias_string", "'seed' AS source", "5 AS priority")
+    )
+    return rows.distinct()
+
+
+def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people(spark, sf_dir).where("k % 3 = 0").selectExpr("stats_id AS canonical_id").unionByName(
+        people(spark, sf_dir).where("k % 5 = 1").selectExpr("full_name AS canonical_id")
+    ).distinct()
+
+
+REPORTS = (
+    "Eden Gardens belter. Last year 199 was the average score batting first. Expect more than 200 when chasing. Fours and sixes everywhere.",
+    "Narendra Modi Stadium. Grass and tramlines for fast bowlers to aim at. Average score here 216, economy 10.2 for fast bowlers. High scoring run chase. It is a 200-run ground today.",
+    "Flat deck, good for batting.",
+    "Arun Jaitley Stadium Delhi. Very high scoring (250, runs galore). Small ground. Last season average first innings ~198 at this ground.",
+    "Two-paced pitch with bare patches, turn and grip for the bowlers. Dew may help the chase.",
+    "Green grass, seam movement early.",
+    "",
+)
+
+
+def _sql_texts(texts) -> str:
+    return ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+
+
+def scored_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fixture per match: sides, stadium, report, toss-free order, model totals and probability."""
+    from creaseline.functions.franchise import stadium_of_city
+
+    rows = fixture_schedule(spark, sf_dir).selectExpr(
+        "match_no AS fixture_id", "date AS match_date", "home_team AS team1_name", "away_team AS team2_name", "venue_city",
+        f"element_at(array({_sql_texts(REPORTS)}), CAST(match_no % 7 + 1 AS INT)) AS pitch_text",
+        "CASE WHEN match_no % 6 <> 0 THEN CAST(90 + match_no * 7 % 120 AS DOUBLE) END AS ml1",
+        "CASE WHEN match_no % 6 <> 0 THEN CAST(85 + match_no * 11 % 125 AS DOUBLE) END AS ml2",
+        "CASE WHEN match_no % 9 <> 0 THEN (match_no * 37 % 101) / 100D END AS ml_p_team1",
+    )
+    return rows.withColumn("venue", stadium_of_city("venue_city")).drop("venue_city")
+
+
+def fixture_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven or twelve players per side with raw predictions read off their pre-match form."""
+    from pyspark.sql import Window
+
+    from creaseline.functions.franchise import role_code
+
+    stats_rows = player_match(spark, sf_dir).select("match_id", "player_id", "batting_team", "bowling_team", "role", "wickets")
+    feats = player_features(spark, sf_dir).select("match_id", "player_id", "form_runs", "form_wickets", "form_runs_ipl", "form_wickets_ipl", "strike_rate", "economy")
+    place = F.row_number().over(Window.partitionBy("match_id", "batting_team").orderBy("player_id"))
+    rows = stats_rows.join(feats, ["match_id", "player_id"]).withColumn("xi_place", place)
+    rows = rows.where(F.col("xi_place") <= F.when(F.col("match_id") % 2 == 1, 12).otherwise(11))
+    first = F.concat(F.lit("T"), (F.col("match_id") % 10).cast("string"))
+    return rows.select(
+        F.col("match_id").alias("fixture_id"), F.when(F.col("batting_team") == first, 1).otherwise(2).alias("side"), "player_id",
+        F.col("batting_team").alias("team"), F.col("bowling_team").alias("opponent"), "xi_place", "role",
+        role_code(F.col("role")).alias("role_encoded"), "form_runs", "form_wickets", "form_runs_ipl", "form_wickets_ipl", "strike_rate", "economy",
+        (F.col("form_runs") * 0.8 + 5.0 + F.col("xi_place") * 0.37).alias("pred_runs_raw"),
+        (F.col("form_wickets") * 0.9 + 0.2 + F.col("xi_place") * 0.013).alias("pred_wk_raw"),
+        (F.col("form_runs") * 0.5 + F.col("xi_place")).alias("std_runs"), (F.col("form_wickets") * 0.5 + 0.1).alias("std_wickets"),
+        ((F.col("xi_place") % 5 + 1) / 5.0).alias("playing_prob"), ((F.col("xi_place") % 10 + 1) / 10.0).alias("data_confidence"),
+        F.when(F.col("xi_place") % 3 == 0, "spin").when(F.col("xi_place") % 3 == 1, "pace").otherwise("unknown").alias("bowling_style"),
+    )
+
+
+def priced_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures with pitch multipliers, venue harshness and franchise profiles."""
+    from creaseline.functions.pitch import resolve_multipliers, venue_spin_harshness
+    from creaseline.operators.distinct import on_distinct
+
+    rows = scored_fixtures(spark, sf_dir)
+    priced = on_distinct(
+        rows, ["pitch_text", "venue"],
+        {**resolve_multipliers(F.col("pitch_text"), F.col("venue")), "venue_spin_harshness": venue_spin_harshness(F.col("venue"))},
+    )
+    return profiles.with_profiles(priced, profile_table(spark, sf_dir))
+
+
+def priced_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture players with the multipliers and harshness of their fixture."""
+    from creaseline.functions.pitch import MULTIPLIERS
+
+    fixtures = staged(spark, sf_dir, "priced_fixtures", lambda: priced_fixtures(spark, sf_dir))
+    players = staged(spark, sf_dir, "fixture_players", lambda: fixture_players(spark, sf_dir))
+    return players.join(fixtures.select("fixture_id", *MULTIPLIERS, "venue_spin_harshness"), "fixture_id")
+
+
+def priced_fixture_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "priced_fixtures", lambda: priced_fixtures(spark, sf_dir))
+
+
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One logged prediction per match with its result: blank, no result, tie or the higher innings total."""
+    total = F.col("runs_off_bat") + F.col("extras")
+    m = deliveries(spark, sf_dir).groupBy("match_id").agg(
+        F.min("date").alias("match_date"), F.min("venue").alias("venue"),
+        F.min(F.when(F.col("innings") == 1, F.col("batting_team"))).alias("team1_name"),
+        F.min(F.when(F.col("innings") == 1, F.col("bowling_team"))).alias("team2_name"),
+        F.coalesce(F.sum(F.when(F.col("innings") == 1, total)), F.lit(0.0)).alias("r1"),
+        F.coalesce(F.sum(F.when(F.col("innings") == 2, total)), F.lit(0.0)).alias("r2"),
+    )
+    rows = m.selectExpr(
+        "*", "concat('m', match_id) AS match_key", "(match_id * 37 % 101) / 100D AS pred_p_team1_win",
+        """CASE WHEN match_id % 13 = 0 THEN '' WHEN match_id % 17 = 0 THEN 'No  Result' WHEN r1 = r2 THEN 'Tie' WHEN r1 > r2 THEN team1_name ELSE team2_name END AS actual_winner""",
+    )
+    return rows.selectExpr(
+        "match_id", "match_key", "CASE WHEN match_id % 19 = 0 THEN NULL ELSE match_date END AS match_date", "venue", "team1_name", "team2_name", "true AS team1_bats_first",
+        "CASE WHEN pred_p_team1_win >= 0.5 THEN team1_name ELSE lower(team2_name) END AS pred_winner", "pred_p_team1_win",
+        "concat(team1_name, '_', match_id % 15) AS pred_best_bat", "concat(team2_name, '_', match_id % 15) AS pred_best_bowl",
+        "array('a', 'b', 'c', 'd', 'e') AS pred_top5_bats", "array('a', 'b', 'c') AS pred_top3_bowls",
+        "concat(team1_name, '_', match_id % 3) AS pred_potm",
+        "CASE WHEN match_id % 8 = 0 THEN 'broken {' ELSE to_json(named_struct('sims', 100, 'pred_first_innings_team_runs', CAST(150 + match_id % 40 AS DOUBLE), 'pred_second_innings_team_runs', CAST(140 + match_id % 50 AS DOUBLE))) END AS pred_extra_json",
+        "actual_winner", "CASE WHEN match_id % 4 = 0 THEN upper(concat(team1_name, ' ', match_id % 15)) ELSE concat(team2_name, '_1') END AS actual_top_scorer",
+        "CASE WHEN match_id % 3 = 0 THEN concat(team2_name, '_', match_id % 15) ELSE '' END AS actual_top_wicket_bowler",
+        "CASE WHEN match_id % 5 = 0 THEN '' ELSE concat(team1_name, '_', match_id % 4) END AS official_potm",
+        "CASE WHEN match_id % 6 <> 0 THEN r1 END AS actual_first_innings_team_runs", "CASE WHEN match_id % 6 <> 1 THEN r2 END AS actual_second_innings_team_runs",
+        "CASE WHEN match_id % 23 <> 0 THEN timestamp'2026-01-01 00:00:00' END AS logged_at_pre", "CASE WHEN match_id % 7 <> 0 THEN timestamp'2026-01-02 00:00:00' END AS logged_at_post",
+        "CASE WHEN match_id % 9 = 0 THEN timestamp'2026-01-03 00:00:00' END AS process3_completed_at", "CAST(NULL AS STRING) AS process3_notes",
+        "CAST(NULL AS STRING) AS winner_correct", "CAST(NULL AS STRING) AS potm_correct", "CAST(NULL AS STRING) AS post_notes",
+    )
+
+
+def graded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with its results applied, predicted totals decoded from the extras cell."""
+    from creaseline.plans import predlog
+
+    log = prediction_log(spark, sf_dir)
+    results = log.select("match_key", "actual_winner", "official_potm")
+    stamp = F.col("logged_at_post")
+    graded = predlog.apply_results(log, results, logged_at=stamp)
+    return graded.withColumns(predlog.predicted_innings(F.col("pred_extra_json")))
+
+
+def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorecard lines as text cells: one per match, innings and batter."""
+    lines = deliveries(spark, sf_dir).groupBy("match_id", "innings", "batting_team", "batter").agg(
+        F.sum("runs_off_bat").cast("int").alias("r"), F.sum((F.col("is_wide") == 0).cast("int")).alias("b"),
+        F.sum((F.col("runs_off_bat") == 4).cast("int")).alias("f4"), F.sum((F.col("runs_off_bat") == 6).cast("int")).alias("f6"),
+        F.max(F.when(F.col("dismissal_kind") != "", F.concat("dismissal_kind", F.lit("|"), "bowler"))).alias("out"),
+    )
+    return lines.selectExpr(
+        "concat('G', match_id) AS match", "concat('inn', innings) AS innings", "batting_team AS team",
+        "CASE WHEN r % 5 = 0 THEN concat(' ', replace(batter, '_', ' ')) ELSE batter END AS player",
+        "CAST(r AS STRING) AS runs", "CAST(b AS STRING) AS balls", "CAST(f4 AS STRING) AS fours", "CASE WHEN f6 = 0 THEN 'x' ELSE CAST(f6 AS STRING) END AS sixes",
+        "CASE WHEN out IS NULL THEN 'not out' WHEN out LIKE 'run out%' THEN 'run out (Sub)' ELSE concat('c Keeper b ', split_part(out, '|', 2)) END AS dismissal",
+    )
+
+
+def scorecard_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture_schedule(spark, sf_dir)
+    return rows.selectExpr(
+        "CAST(match_no AS INT) AS match_no", "concat('G', match_no) AS group", "date", "venue_city AS venue", "home_team AS team1",
+        "CASE WHEN match_no % 9 = 0 THEN 'Nobody' ELSE away_team END AS team2",
+    )
+
+
+def scorecard_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = deliveries(spark, sf_dir).select("batter").distinct()
+    return names.selectExpr("batter AS canonical_id", "replace(batter, '_', ' ') AS alias_string", "'seed' AS source", "1 AS priority")
