@@ -113,27 +113,20 @@ def prior_rolling(
     return drop_prior_rows(rows.withColumns(calls))
 
 
-def conditional_rolling(keys: Sequence[str], order: Sequence[str], flag: str, value: str, depth: int) -> Column:
-    """Mean of ``value`` over the last ``depth`` flagged rows before each row.
-
-    Use on :func:`with_prior_rows` output built with the same flag and depth.  The inner mean lives on
-    flagged rows only, so it must be materialised as a column first; see :func:`add_conditional_rolling`.
-    """
-    per_flag = Window.partitionBy(*keys, CHUNK, F.col(flag)).orderBy(*ordered(order))
-    return F.when(F.col(flag), F.avg(value).over(per_flag.rowsBetween(-(depth - 1), 0)))
-
-
 def add_conditional_rolling(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, outputs: dict[str, str], depth: int
 ) -> DataFrame:
-    """Two-step window: running mean on flagged rows, then the last such mean before each row."""
-    staged = rows.withColumns(
-        {f"_{name}": conditional_rolling(keys, order, flag, value, depth) for name, value in outputs.items()}
-    )
+    """Mean of each value over the last ``depth`` flagged rows before each row.
+
+    Two steps on :func:`with_prior_rows` output of the same flag and depth: the running means on flagged
+    rows, then the latest flagged row before each row.
+    """
+    per_flag = Window.partitionBy(*keys, CHUNK, F.col(flag)).orderBy(*ordered(order)).rowsBetween(-(depth - 1), 0)
+    means = F.struct(*[F.avg(value).over(per_flag).alias(name) for name, value in outputs.items()])
     before = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    return staged.withColumns(
-        {name: F.last(f"_{name}", ignorenulls=True).over(before) for name in outputs}
-    ).drop(*[f"_{name}" for name in outputs])
+    staged = rows.withColumn("_means", F.when(F.col(flag), means))
+    latest = staged.withColumn("_latest", F.last("_means", ignorenulls=True).over(before))
+    return latest.withColumns({name: F.col("_latest")[name] for name in outputs}).drop("_means", "_latest")
 
 
 def conditional_prior(
