@@ -187,6 +187,11 @@ def prior_cumulative(
     )
 
 
+def with_table_stats(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:
+    """``df`` with the single row of ``stats`` as one struct column, so that it is planned and run once."""
+    return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
+
+
 def date_id_chunk(df: DataFrame, date: str, ident: str, parts: int = 16) -> Column:
     """Order-preserving chunk for a (date, id) order: the day, split into ``parts`` id ranges."""
     bounds = df.agg(F.struct(F.min(ident).alias("lo"), F.max(ident).alias("hi")).alias("b")).scalar()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creaseline.operators.windows import with_table_stats
+
 
 def role_distribution(stats: DataFrame) -> DataFrame:
     return stats.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +45,7 @@ def strength_win_correlation(matches: DataFrame) -> DataFrame:
 
 def margin_histogram(team_matches: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width counts of the run margin; empty bins are left out."""
-    bounds = team_matches.agg(F.struct(F.min("margin").alias("lo"), F.max("margin").alias("hi")).alias("b")).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
+    bounds = team_matches.agg(F.min("margin").alias("lo"), F.max("margin").alias("hi"))
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
     place = F.when(hi > lo, F.least(F.floor((F.col("margin") - lo) / (hi - lo) * bins), F.lit(bins - 1)))
-    return team_matches.groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return with_table_stats(team_matches, bounds, "_bounds").groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ from creaseline.operators.windows import (
     prior_cumulative,
     prior_rolling,
     with_prior_rows,
+    with_table_stats,
 )
 from creaseline.plans.stats import pair_match_table
 from creaseline.schemas import PLAYER_FEATURES
@@ -306,8 +307,9 @@ def with_opponent_strength(rows: DataFrame, past: DataFrame, means_from: DataFra
     """
     source = rows if means_from is None else means_from
     slim = source.select("match_id", "team", "batting_team", "bowling_team", "role")
-    means = _join_opponent(slim, past).agg(F.struct(*[F.avg(c).alias(c) for c in _STRENGTHS]).alias("m")).scalar()
-    return _join_opponent(rows, past).withColumns({c: F.coalesce(F.col(c), means[c]) for c in _STRENGTHS})
+    means = _join_opponent(slim, past).agg(*[F.avg(c).alias(c) for c in _STRENGTHS])
+    joined = with_table_stats(_join_opponent(rows, past), means, "_means")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col("_means")[c]) for c in _STRENGTHS}).drop("_means")
 
 
 def match_dates(stats: DataFrame) -> DataFrame:
@@ -355,11 +357,10 @@ def impute_by_player(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     join can be split by adaptive execution; a window over the player could not.
     """
     means = rows.groupBy("player_id").agg(*[F.avg(c).alias(f"_p_{c}") for c in columns])
-    table = rows.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-    joined = rows.join(means, "player_id", "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_p_{c}"), table[c]) for c in columns}).drop(
-        *[f"_p_{c}" for c in columns]
-    )
+    joined = with_table_stats(rows.join(means, "player_id", "left"), rows.agg(*[F.avg(c).alias(c) for c in columns]), "_table")
+    return joined.withColumns(
+        {c: F.coalesce(F.col(c), F.col(f"_p_{c}"), F.col("_table")[c]) for c in columns}
+    ).drop("_table", *[f"_p_{c}" for c in columns])
 
 
 def spread_and_momentum(rows: DataFrame) -> DataFrame:
@@ -394,14 +395,15 @@ def median_prior_rows(features: DataFrame, player_ids: DataFrame, prior_match_id
         n for n, t in features.dtypes if t in ("double", "int", "bigint", "float") and n != "match_id"
     ]
     medians = exact_medians(features, numeric)
-    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m")).scalar()
+    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m"))
     missing = (
         player_ids.select(F.trim("player_id").alias("player_id"))
         .where(F.col("player_id") != "")
         .distinct()
         .join(features.select(F.trim("player_id").alias("player_id")), "player_id", "left_anti")
     )
-    values = {n: packed[n] for n in numeric}
+    missing = with_table_stats(missing, packed, "_medians")
+    values = {n: F.col("_medians.m")[n] for n in numeric}
     texts = {n: F.lit("unknown") for n, t in features.dtypes if t == "string" and n != "player_id"}
     rows = missing.withColumns({**values, **texts, "match_id": F.lit(prior_match_id).cast("long")})
     return rows.select(*[F.col(n).cast(t) if n in numeric else F.col(n) for n, t in features.dtypes])

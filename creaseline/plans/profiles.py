@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from creaseline.functions.franchise import canonical_franchise, is_league_row
 from creaseline.functions.text import clip
 from creaseline.operators.quantiles import exact_medians
+from creaseline.operators.windows import with_table_stats
 from creaseline.plans.stats import innings_table
 from creaseline.session import stage_table
 
@@ -77,13 +78,13 @@ def clean_ratio(c: Column) -> Column:
 
 def team_ratios(means: DataFrame, baselines: DataFrame) -> DataFrame:
     """Ratios to the league, cleaned and clipped, and the raw dominance values."""
-    league = baselines.select(F.struct("league_1", "league_2", "league_pp").alias("b")).scalar()
+    league = F.col("_league")
 
     def stingy(base: Column, conceded: str) -> Column:
         return F.when(F.col(conceded) > 0, base / F.col(conceded))
 
     wickets, run_outs = (F.col("wk_1") + F.col("wk_2")) / 2.0, (F.col("ro_1") + F.col("ro_2")) / 2.0
-    return means.select(
+    return with_table_stats(means, baselines, "_league").select(
         "team",
         clean_ratio(F.col("mean_runs_bf") / league["league_1"]).alias("bat_first_ratio"),
         clean_ratio(F.col("mean_runs_chase") / league["league_2"]).alias("chase_ratio"),
@@ -102,20 +103,20 @@ def with_dominance(ratios: DataFrame) -> DataFrame:
     """Raw values to z-scores over the teams: nulls to the median, flat columns to zero."""
     raws = [f"{d}_raw" for d in DOMINANCE]
     medians = exact_medians(ratios, raws)
-    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m")).scalar()
-    filled = ratios.withColumns({r: F.coalesce(F.col(r), packed[r]) for r in raws})
+    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m"))
+    known = with_table_stats(ratios, packed, "_medians")
+    filled = known.withColumns({r: F.coalesce(F.col(r), F.col("_medians.m")[r]) for r in raws}).drop("_medians")
     moments = filled.agg(
-        F.struct(
-            *[F.avg(r).alias(f"mean_{r}") for r in raws], *[F.stddev_samp(r).alias(f"sd_{r}") for r in raws]
-        ).alias("s")
-    ).scalar()
+        *[F.avg(r).alias(f"mean_{r}") for r in raws], *[F.stddev_samp(r).alias(f"sd_{r}") for r in raws]
+    )
 
     def z(raw: str) -> Column:
-        sd = moments[f"sd_{raw}"]
-        score = F.when(sd < 1e-9, F.lit(0.0)).otherwise((F.col(raw) - moments[f"mean_{raw}"]) / sd)
+        sd, mean = F.col("_moments")[f"sd_{raw}"], F.col("_moments")[f"mean_{raw}"]
+        score = F.when(sd < 1e-9, F.lit(0.0)).otherwise((F.col(raw) - mean) / sd)
         return F.coalesce(score, F.lit(0.0))
 
-    return filled.withColumns({d: z(f"{d}_raw") for d in DOMINANCE}).drop(*raws)
+    scored = with_table_stats(filled, moments, "_moments")
+    return scored.withColumns({d: z(f"{d}_raw") for d in DOMINANCE}).drop("_moments", *raws)
 
 
 def merge_franchises(teams: DataFrame) -> DataFrame:
