@@ -53,16 +53,17 @@ def with_prior_rows(
     within_desc = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(n).desc_nulls_first() for n in order])
 
     slim = rows.select(*keys, CHUNK, *[c for c in carried if c not in keys])
-    tails = slim.withColumn("_rn", F.row_number().over(within_desc)).where(F.col("_rn") <= depth).drop("_rn")
+    tails = slim.withColumn("_rn", F.row_number().over(within_desc))
     if flag:
-        # Unflagged rows of the tails and the last flagged rows, each kept once.
-        flagged_tails = (
-            slim.where(F.col(flag))
-            .withColumn("_rn", F.row_number().over(within_desc))
-            .where(F.col("_rn") <= depth)
-            .drop("_rn")
-        )
-        tails = tails.where(~F.coalesce(F.col(flag), F.lit(False))).unionByName(flagged_tails)
+        # Tail of all rows and tail of the flagged rows, ranked under the one exchange on (key, chunk).
+        flagged = F.coalesce(F.col(flag), F.lit(False))
+        ranked = Window.partitionBy(*keys, CHUNK, flagged).orderBy(*[F.col(n).desc_nulls_first() for n in order])
+        tails = tails.withColumn("_rf", F.row_number().over(ranked)).where(
+            (F.col("_rn") <= depth) | (flagged & (F.col("_rf") <= depth))
+        ).drop("_rf")
+    else:
+        tails = tails.where(F.col("_rn") <= depth)
+    tails = tails.drop("_rn")
 
     per_key = Window.partitionBy(*keys).orderBy(CHUNK, *ordered(order))
     packed = F.struct(*[F.col(c) for c in carried])
@@ -90,7 +91,9 @@ def with_prior_rows(
         .select(*keys, CHUNK, F.explode("_before").alias("_row"))
         .select(*keys, CHUNK, *[F.col("_row")[c].alias(c) for c in carried if c not in keys], F.lit(True).alias(HALO))
     )
-    return rows.withColumn(HALO, F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    together = rows.withColumn(HALO, F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    # The flagged frames partition by (key, chunk, flag); one shuffle on (key, chunk) serves them as well.
+    return together.repartition(*keys, CHUNK) if flag else together
 
 
 def drop_prior_rows(df: DataFrame) -> DataFrame:
@@ -152,10 +155,11 @@ def prior_cumulative(
     chunk: Column | None = None,
     totals_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Sums over all earlier rows of the key (0 when there are none).
+    """Sums over all earlier rows of the key; 0 when there are none or a key is null.
 
-    ``totals_from`` names a cheaper table with the same rows to take the chunk totals from.  Chunk totals are combined before the shuffle, their running sum has one row per (key, chunk), and
-    the row-level frame never leaves a chunk.
+    Chunk totals are combined before the shuffle, their running sum has one row per (key, chunk), and the
+    row-level frame never leaves a chunk.  ``totals_from`` names a cheaper table with the same rows to
+    take the totals from.
     """
     chunk = chunk if chunk is not None else month_chunk(F.col(order[0]))
     rows = df.withColumn(CHUNK, chunk).withColumns({f"_v_{n}": c.cast("double") for n, c in sums.items()})
@@ -172,19 +176,18 @@ def prior_cumulative(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
-    carry = carry.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, CHUNK]})
-    condition = F.lit(True)
-    for k in [*keys, CHUNK]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = rows.join(carry, condition, "left")
+    joined = rows.join(carry, [*keys, CHUNK], "left")
     inside = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
     result = {
-        n: F.coalesce(F.col(f"_c_{n}"), F.lit(0.0)) + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0.0))
+        n: F.when(
+            known, F.coalesce(F.col(f"_c_{n}"), F.lit(0.0)) + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0.0))
+        ).otherwise(F.lit(0.0))
         for n in sums
     }
-    return joined.withColumns(result).drop(
-        CHUNK, *[f"_k_{k}" for k in [*keys, CHUNK]], *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums]
-    )
+    return joined.withColumns(result).drop(CHUNK, *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
 
 
 def with_table_stats(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:

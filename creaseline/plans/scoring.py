@@ -647,7 +647,9 @@ def score_fixtures(fixtures: DataFrame, players: DataFrame, replicates: int = 10
     probability ``ml_p_team1`` and the profile columns; ``players`` the raw predictions per player.
     """
     ready = by_fixture(players)
-    expected = expected_players(ready, drop_lowest)
+    # Totals, par, leaderboards and scaled players all read the expected rows; the simulation and the
+    # outcomes read the calibrated fixtures.  Both are written once.
+    expected = stage_table(expected_players(ready, drop_lowest), "expected_players")
     totals = innings_wickets(side_totals(expected))
     par = dynamic_par(expected).groupBy("fixture_id").agg(
         *[F.max(F.when(F.col("side") == s, F.col("dynamic_mult"))).alias(f"dynamic{s}") for s in (1, 2)]
@@ -657,6 +659,7 @@ def score_fixtures(fixtures: DataFrame, players: DataFrame, replicates: int = 10
         rows.withColumns({f"target{s}": _clip_total(F.col(f"target{s}") * F.coalesce(f"dynamic{s}", F.lit(1.0))) for s in (1, 2)})
     )
     rows = rows.withColumns({f"total{s}": F.col(f"raw{s}") * F.col(f"scale{s}") for s in (1, 2)})
+    rows = stage_table(rows, "calibrated_fixtures")
     chance = monte_carlo(shrink_to_team(ready), rows, replicates, drop_lowest=drop_lowest)
     rows = rows.join(chance, "fixture_id", "left").withColumn(
         "ensemble_p_team1", ensemble_probability(F.col("ml_p_team1"), F.col("sim_p_team1"))
