@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creaseline.functions.text import blank_if_null, lookup_key, name_signature, normal_name, similarity
+from creaseline.functions.text import lookup_key, name_signature, normal_name, similarity
 from creaseline.operators.windows import keep_one
 
 SQUAD_SIMILARITY = 85.0
@@ -239,7 +239,3 @@ def eleven_legality(elevens: DataFrame, resolution: DataFrame, max_overseas: int
         F.sum(missing.cast("int")).alias("n_missing"),
         F.sum(F.coalesce(F.col("is_overseas"), F.lit(0))).alias("n_overseas"),
     ).withColumn("legal", (F.col("n_missing") == 0) & (F.col("n_overseas") <= max_overseas))
-
-
-def clean_ids(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn(column, blank_if_null(column))

@@ -138,6 +138,7 @@ def latest_at_venue(players: DataFrame, history: DataFrame, columns: list[str])
     """
     packed = F.struct("date", "match_id", "venue", *columns)
     newest = history.groupBy("player_id", F.col("venue").alias("_hist_venue")).agg(F.max(packed).alias("_row"))
+    newest = stage_table(newest, "newest_at_venue")
     overall = newest.groupBy("player_id").agg(F.max("_row").alias("_any"))
     pairs = venue_query_pairs(players.select("venue"), newest.select("_hist_venue"), "venue", "_hist_venue")
     at = (

@@ -9,7 +9,7 @@ from creaseline.operators.containment import best_loose_match, venue_query_pairs
 from creaseline.plans import identity
 from creaseline.queries import views
 from creaseline.queries.oracle import CTES
-from creaseline.queries.registry import query, r, rounded
+from creaseline.queries.registry import query, rounded
 
 _SIG = "CASE WHEN contains(trim({0}), ' ') THEN concat(substr(lower(trim({0})), 1, 1), '|', list_extract(string_split(regexp_replace(lower(trim({0})), '\\s+', ' ', 'g'), ' '), -1)) END"
 _NORM = "trim(regexp_replace(replace(lower({0}), '.', ' '), '\\s+', ' ', 'g'))"
