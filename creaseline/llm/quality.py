@@ -27,7 +27,7 @@ RULES: dict[str, tuple[float, ...]] = {
     "repeat_share": (0.28, 0.22, 0.17, 0.13, 0.1, 0.07),
     "duplicate_line_share": (0.9, 0.7, 0.5, 0.4, 0.3),
 }
-RISK, CONFIDENCE, PRICE = 0.01, 0.95, 10
+RISK, CONFIDENCE, PRICE = 0.025, 0.95, 10
 
 BASE_FIELDS: dict[str, T.DataType] = {
     "n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(),

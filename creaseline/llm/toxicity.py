@@ -14,7 +14,9 @@ from creaseline.llm.common import map_texts
 
 #: Bound of the labelled documents that are fitted on, and of the positions of the hashed features.
 MAX_TRAIN_DOCS, FEATURES = 6_000, 1 << 18
-EPOCHS, RATE, DECAY, START = 80, 0.3, 1e-4, -5.0
+EPOCHS, RATE, PENALTY, START = 120, 0.2, 2e-4, -6.0
+#: A feature is learnt if so many of the fitted documents have it.
+MIN_DOCS = 4
 THRESHOLD = 0.7
 #: Sentences end at these marks or at a line end; longer ones are cut after so many words.
 SENTENCE_WORDS = 60
@@ -60,10 +62,11 @@ def noisy_or(logits: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[bytes, bytes, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias from documents (feature bytes, sentence starts, label) by full-batch Adam.
+    """Weights and bias from documents (feature bytes, sentence starts, label) by full-batch projected Adam.
 
     The loss is the log loss of the noisy-or of a document's sentences, so which sentence is to blame is learnt,
-    not given.  Without documents of both labels the model scores every sentence by the starting bias.
+    not given.  Words only ever speak for toxicity: weights stay at or above zero, and a penalty keeps most at
+    zero.  Without documents of both labels the model scores every sentence by the starting bias.
     """
     weights, bias = np.zeros(FEATURES), START
     rows = [r for r in rows if len(r[1])]
@@ -76,26 +79,35 @@ def fit(rows: list[tuple[bytes, bytes, int]]) -> tuple[np.ndarray, float]:
     per_doc = np.array([len(s) // 4 for _, s, _ in rows])
     first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
     sentence_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    used, place = np.unique(ids, return_inverse=True)
+    # A document counts once for a feature, however many of its sentences have it.
+    doc_of = np.repeat(np.arange(len(rows)), sizes)
+    in_docs = np.bincount(np.unique(doc_of * FEATURES + ids) % FEATURES, minlength=FEATURES)
+    used = np.nonzero(in_docs >= MIN_DOCS)[0]
+    place_of = np.full(FEATURES, len(used))
+    place_of[used] = np.arange(len(used))
+    place = place_of[ids]
     label = np.array([float(r[2]) for r in rows])
-    share = max(label.mean(), 1e-6)
-    doc_weight = np.where(label > 0, 0.5 / share, 0.5 / max(1 - share, 1e-6))
-    w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    w[-1] = START
+    share = label.mean()
+    doc_weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
+    w, bias = np.zeros(len(used) + 1), START
+    m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     for t in range(1, EPOCHS + 1):
-        z = np.add.reduceat(w[place], starts) + w[-1]
+        z = np.add.reduceat(w[place], starts) + bias
         total = np.add.reduceat(np.logaddexp(0.0, z), first)
         toxic = -np.expm1(-total)
         # d loss / d total: clean documents pay total itself, toxic ones -log(1 - exp(-total)).
         slope = np.where(label > 0, -np.exp(-total) / np.maximum(toxic, 1e-9), 1.0) * doc_weight
         dz = np.repeat(slope, per_doc) / (1 + np.exp(-z))
-        g = np.append(np.bincount(place, weights=dz[sentence_of], minlength=len(used)), dz.sum()) / len(rows)
-        g[:-1] += DECAY * w[:-1]
+        g = np.append(np.bincount(place, weights=dz[sentence_of], minlength=len(used) + 1), dz.sum()) / len(rows)
+        g[:-2] += PENALTY
+        g[-2] = 0.0
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = np.maximum(w - step[:-1], 0.0)
+        bias = min(bias - step[-1], START / 2)
     weights[used] = w[:-1]
-    return weights, float(w[-1])
+    return weights, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray, float]:
