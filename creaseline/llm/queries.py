@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import codec, id_store, near_copies, quality, token_counts, toxicity
+from creaseline.llm import codec, decontaminate, id_store, lines, near_copies, quality, token_counts, toxicity
 from creaseline.llm.common import documents, shared_path, table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -24,10 +24,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.document_classes(documents(spark, sf_dir).select("doc_id", "text"), width=2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_report(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.withColumn("removed_lines", F.array_join("removed_lines", ","))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return codec.round_trip_digests(docs, token_counts.default_tokenizer(WORD_TOKENIZER))
@@ -49,7 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op4_near_copies, op6_bpe_round_trip, op7_id_store, op8_toxicity)
+    for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_near_copies, op5_line_dedup, op6_bpe_round_trip, op7_id_store, op8_toxicity)
 }
 
 

@@ -101,3 +101,68 @@ def near_classes(rows, width, percent=80):
     pairs = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(linked)) if a < b]
     component = smallest(pairs, ids)
     return {i: (len(sets[i]), component[i]) for i in ids}
+
+
+def removed_lines(rows, width=5, percent=80, min_words=3):
+    """(doc_id, line) of lines with an earlier line of that similarity; rows is (doc_id, text)."""
+    lines = []
+    for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t is not None):
+        for n, line in enumerate(text.split("\n")):
+            words = words_of(line)
+            if len(words) >= min_words:
+                grams = frozenset([tuple(words)]) if len(words) < width else frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+                lines.append((doc_id, n, grams))
+    by, gone = defaultdict(list), set()
+    for k, (doc_id, n, grams) in enumerate(lines):
+        common = Counter(e for g in grams for e in by[g])
+        if any(100 * c >= percent * (len(grams) + len(lines[e][2]) - c) for e, c in common.items()):
+            gone.add((doc_id, n))
+        for g in grams:
+            by[g].append(k)
+    return gone
+
+
+TOKEN = re.compile(r"[^\W_]+")
+
+
+def tokens_of(text):
+    import regex
+
+    return [t for t in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if t]
+
+
+def best_run(equal, percent=80):
+    score = count = best = 0
+    for e in equal:
+        score += 100 - percent if e else -percent
+        count += e
+        if score < 0:
+            score = count = 0
+        best = max(best, count)
+    return best
+
+
+def overlaps(rows, items, masks, min_equal=10, percent=80):
+    """(doc_id, item_id) -> most equal tokens, by trying every alignment with a spaced-seed hit."""
+    seeds = defaultdict(set)
+    texts = {}
+    for item_id, text in sorted(items, reverse=True):
+        texts[tuple(tokens_of(text))] = item_id
+    for h, item_id in texts.items():
+        for m, mask in enumerate(masks):
+            for p in range(len(h) - len(mask) + 1):
+                seeds[(m, *[h[p + i] for i, c in enumerate(mask) if c == "1"])].add((item_id, h, p))
+    out = {}
+    for doc_id, text in rows:
+        d, seen = tokens_of(text), set()
+        for m, mask in enumerate(masks):
+            at = [i for i, c in enumerate(mask) if c == "1"]
+            for p in range(len(d) - len(mask) + 1):
+                for item_id, h, q in seeds.get((m, *[d[p + i] for i in at]), ()):
+                    seen.add((item_id, h, p - q))
+        for item_id, h, shift in seen:
+            equal = [d[i + shift] == h[i] for i in range(len(h)) if 0 <= i + shift < len(d)]
+            n = best_run(equal, percent)
+            if n >= min(min_equal, len(h)):
+                out[doc_id, item_id] = max(n, out.get((doc_id, item_id), 0))
+    return out
