@@ -166,3 +166,36 @@ def overlaps(rows, items, masks, min_equal=10, percent=80):
             if n >= min(min_equal, len(h)):
                 out[doc_id, item_id] = max(n, out.get((doc_id, item_id), 0))
     return out
+
+
+PII = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def pii(text):
+    """(kind, start, end) of the base formats."""
+    out = []
+    for kind, pattern in PII:
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 16 <= len(digits) <= 19 and luhn(digits),
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
