@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import codec, decontaminate, id_store, lines, near_copies, pii, quality, token_counts, toxicity
+from creaseline.llm import codec, decontaminate, id_store, lines, near_copies, passages, pii, quality, token_counts, toxicity
 from creaseline.llm.common import documents, shared_path, table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,13 +57,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "kind", "place", "words", "first_doc_id", "removed")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_near_copies, op5_line_dedup, op6_bpe_round_trip, op7_id_store, op8_toxicity, op10_personal_data)
+    for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_near_copies, op5_line_dedup, op6_bpe_round_trip, op7_id_store, op8_toxicity, op9_repeated_passages, op10_personal_data)
 }
 
 
