@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: Rows of a few numbers each (some tens of MB) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow `rows`, marked for a broadcast where there are at most `limit`; else left to a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creaseline.llm.common import cut
+from creaseline.llm.common import cut, small
 
 #: Fixed masks over token positions: 1 is compared, - ignored.  Together they survive any single substitution in a
 #: window of ten tokens, and most pairs of substitutions.
 MASKS = ("111-1-11", "11-11-11", "1-111--11")
 #: Overlap that counts: so many equal tokens on one alignment with at least PERCENT of its tokens equal.
 MIN_EQUAL, PERCENT = 10, 80
-#: Seeds of the benchmark up to which they are broadcast (16 bytes each and their item's place); beyond, a shuffle join.
+#: Rows of a few numbers each up to which seeds and hits are broadcast; beyond, they meet the documents in a shuffle join.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -89,21 +89,19 @@ def contaminated(
     Empty in, empty out.
     """
     seeds = cut(benchmark_seeds(items, masks))
-    small = seeds.count() <= broadcast_seeds
+    narrow_seeds = small(seeds.select("seed", "item_id", "item_pos"), broadcast_seeds)
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    own = rows.select("doc_id", "row", token_hashes(F.col("text")).alias("h"))
+    windows = own.select("doc_id", "row", F.size("h").alias("size"), F.concat(*seed_hashes(masks)).alias("windows"))
     # posexplode_outer: the filter that Spark derives from the plain form would compute `h` anew for every window.
-    own = docs.where("doc_id is not null").select("doc_id", token_hashes(F.col("text")).alias("h"))
-    windows = own.select("doc_id", "h", F.concat(*seed_hashes(masks)).alias("windows"))
-    if small:  # the seeds alone decide, and the row's own tokens are at hand for the comparison
-        hits = windows.select("doc_id", "h", F.posexplode_outer("windows").alias("at", "seed")).join(F.broadcast(seeds), "seed")
-        hits = hits.select("doc_id", "item_id", *_slices(_place(F.size("h"), masks) - F.col("item_pos")))
-    else:  # narrow rows move; tokens of documents with a hit are fetched afterwards
-        narrow = windows.select("doc_id", F.xxhash64("h").alias("row"), F.size("h").alias("size"), F.posexplode_outer("windows").alias("at", "seed"))
-        found = cut(narrow.join(seeds.select("seed", "item_id", "item_pos"), "seed").select("doc_id", "row", "item_id", (_place(F.col("size"), masks) - F.col("item_pos")).alias("shift")).distinct())
-        by_row = own.withColumn("row", F.xxhash64("h"))
-        items_h = seeds.select("item_id", "item_h").groupBy("item_id").agg(F.first("item_h").alias("item_h"))
-        joined = found.join(by_row, ["doc_id", "row"]).join(items_h, "item_id")
-        hits = joined.select("doc_id", "item_id", *_slices(F.col("shift")))
-    return _verified(hits.distinct(), min_equal, percent)
+    # The exploded rows are narrow, since a row's whole output may be buffered.
+    places = windows.select("doc_id", "row", "size", F.posexplode_outer("windows").alias("at", "seed"))
+    shift = (_place(F.col("size"), masks) - F.col("item_pos")).alias("shift")
+    found = cut(places.join(narrow_seeds, "seed").select("doc_id", "row", "item_id", shift).distinct())
+    items_h = seeds.groupBy("item_id").agg(F.first("item_h").alias("item_h"))
+    hits = rows.join(small(found, broadcast_seeds), ["doc_id", "row"]).join(items_h, "item_id")
+    hits = hits.select("doc_id", "item_id", "shift", "item_h", token_hashes(F.col("text")).alias("h"))
+    return _verified(cut(hits).select("doc_id", "item_id", *_slices(F.col("shift"))), min_equal, percent)
 
 
 def _place(size: Column, masks: tuple[str, ...]) -> Column:
