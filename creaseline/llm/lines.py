@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creaseline.llm.common import cut, row_slices, written
+from creaseline.llm.common import cut, row_slices, small, written
 from creaseline.llm.quality import find_words
 
 #: Words of a shingle (the tokens of a line), percent of similarity, and words below which a line is left alone.
@@ -18,19 +18,23 @@ _POWER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(64)], dtype=
 _hashes: dict[str, int] = {}
 
 
-def word_hash(word: str) -> int:
-    known = _hashes.get(word)
-    if known is None:
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words, equal in every worker; words that come up again are looked up."""
+    found = list(map(_hashes.get, words))
+    if None in found:
         import xxhash
 
         if len(_hashes) > 700_000:
             _hashes.clear()
-        known = _hashes[word] = xxhash.xxh3_64_intdigest(word.encode())
-    return known
+        digest = xxhash.xxh3_64_intdigest
+        new = {words[i] for i, h in enumerate(found) if h is None}
+        _hashes.update((w, digest(w.encode())) for w in new)
+        found = [_hashes[w] if h is None else h for w, h in zip(words, found)]
+    return np.array(found, dtype=np.uint64)
 
 
-def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Distinct tokens of the lines of texts: (text, line number, characters) per line, and (line, token) sorted by line.
+def line_tokens(texts: list[str | None], width: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Tokens of the lines of texts: (text, line number, characters) per line, and (line, token), repeats included.
 
     Lines end at \\n.  A line of `min_words` words or more has its `width`-word shingles as tokens, or its whole
     word sequence where it has fewer words; other lines have no row.
@@ -47,7 +51,7 @@ def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS)
                 chars.append(len(line))
                 counts.append(len(words))
                 flat.extend(words)
-    hashed = np.fromiter(map(word_hash, flat), dtype=np.uint64, count=len(flat))
+    hashed = word_hashes(flat)
     counts = np.array(counts, dtype=np.int64)
     line_of = np.repeat(np.arange(len(counts)), counts)
     n = max(0, len(flat) - width + 1)
@@ -62,11 +66,23 @@ def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS)
         tokens, lines = np.concatenate([tokens, np.array(own, dtype=np.uint64)]), np.concatenate([lines, np.array(shorts)])
     tokens = (tokens ^ (tokens >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     tokens ^= tokens >> np.uint64(29)
+    return np.array(owner, dtype=np.int64), np.array(number, dtype=np.int32), np.array(chars, dtype=np.int64), lines, tokens
+
+
+def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS, ranks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """`line_tokens` with distinct tokens, sorted in each line.
+
+    With `ranks` (a rank per bucket), the bucket bits of a token give way to its bucket's rank, so that tokens sort
+    from rare to frequent; different tokens stay different.
+    """
+    owner, number, chars, lines, tokens = line_tokens(texts, width, min_words)
+    if ranks is not None:
+        tokens = (tokens & np.uint64((1 << 48) - 1)) | (ranks[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(48))
     order = np.lexsort((tokens, lines))
     tokens, lines = tokens[order], lines[order]
     first = np.ones(len(tokens), dtype=bool)
     first[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
-    return np.array(owner, dtype=np.int64), np.array(number, dtype=np.int32), np.array(chars, dtype=np.int64), lines[first], tokens[first]
+    return owner, number, chars, lines[first], tokens[first]
 
 
 def token_frequencies(docs: DataFrame, width: int) -> np.ndarray:
@@ -76,7 +92,7 @@ def token_frequencies(docs: DataFrame, width: int) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for _, _, texts in row_slices(batch):
-                total += np.bincount((token_sets(texts, width)[4] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((line_tokens(texts, width)[4] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -97,22 +113,22 @@ def _key_sums(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def line_rows(docs: DataFrame, width: int, percent: int, frequencies: np.ndarray) -> DataFrame:
     """One row per compared line: place, set key, size, and its prefix, tokens ordered from rare to frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # BUCKETS numbers
+    ranks = np.empty(BUCKETS, dtype=np.uint64)
+    ranks[np.argsort(frequencies, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # BUCKETS numbers
 
     def run(batches):
         for batch in batches:
             for start, count, texts in row_slices(batch):
-                owner, number, chars, lines, tokens = token_sets(texts, width)
+                owner, number, chars, lines, tokens = token_sets(texts, width, ranks=shared.value)
                 if not len(owner):
                     continue
                 sizes = np.bincount(lines, minlength=len(owner))
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 k1, k2 = _key_sums(tokens, starts)
-                rarity = shared.value[(tokens >> np.uint64(48)).astype(np.int64)]
-                order = np.lexsort((tokens, rarity, lines))
                 prefix = sizes - (percent * sizes + 99) // 100 + 1
                 rank = np.arange(len(tokens)) - np.repeat(starts, sizes)
-                chosen = tokens[order][rank < np.repeat(prefix, sizes)].astype(np.int64)
+                chosen = tokens[rank < np.repeat(prefix, sizes)].astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
                 rows = pa.array(owner + start)
                 yield pa.RecordBatch.from_arrays(
@@ -133,16 +149,16 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of line classes that share a prefix token and pass the length and positional filters."""
-    entries = classes.select("rid", "line", "n", F.posexplode("prefix").alias("pos", "token"))
+    """Pairs (a, b) of line classes that share a prefix token and pass the length and positional filters."""
+    entries = classes.select("c", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "c", (F.col("n").cast("long") * 2**31 + F.col("pos")).alias("np"))
     x, y = entries.alias("x"), entries.alias("y")
-    c = F.col
-    small, large = F.least(c("x.n"), c("y.n")), F.greatest(c("x.n"), c("y.n"))
-    rest = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))
-    earlier = (c("x.rid") < c("y.rid")) | ((c("x.rid") == c("y.rid")) & (c("x.line") < c("y.line")))
-    on = (c("x.token") == c("y.token")) & earlier & (100 * small >= percent * large) & ((100 + percent) * rest >= percent * (c("x.n") + c("y.n")))
-    pairs = x.join(y, on).select(c("x.rid").alias("ra"), c("x.line").alias("la"), c("y.rid").alias("rb"), c("y.line").alias("lb"))
-    return pairs.distinct()
+    n1, n2 = F.shiftright("x.np", 31), F.shiftright("y.np", 31)
+    p1, p2 = F.col("x.np").bitwiseAND(F.lit(2**31 - 1)), F.col("y.np").bitwiseAND(F.lit(2**31 - 1))
+    sized = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    placed = (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & sized & placed
+    return x.join(y, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def verified_lines(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -163,7 +179,7 @@ def verified_lines(pairs: DataFrame, rows: DataFrame, width: int, percent: int)
                 own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens[keep[lines]].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), pa.array(number[keep]), own], names=["rid", "line", "tokens"])
 
-    sets = written(rows.join(asked, "rid").select("rid", "text", "lines").mapInArrow(run, "rid long, line int, tokens array<long>"), "line-sets")
+    sets = written(rows.join(small(cut(asked)), "rid").select("rid", "text", "lines").mapInArrow(run, "rid long, line int, tokens array<long>"), "line-sets")
     sets = sets.select("rid", "line", "tokens")
     left = sets.toDF("ra", "la", "x")
     right = sets.toDF("rb", "lb", "y")
@@ -180,23 +196,19 @@ def judged_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     rows = with_row_ids(docs)
     lines = written(line_rows(rows, width, percent, token_frequencies(rows, width)), "lines")
-    place = F.struct("doc_id", "rid", "line")
-    classes = cut(lines.groupBy("k1", "k2", "n").agg(F.min(place).alias("p")).select("k1", "k2", "n", "p.doc_id", "p.rid", "p.line"))
-    firsts = lines.join(classes.select("rid", "line", "doc_id"), ["rid", "line", "doc_id"], "left_semi").select("rid", "line", "n", "prefix")
-    pairs = cut(candidates(firsts, percent))
-    links = cut(verified_lines(pairs, rows, width, percent))
-    both = links.unionByName(links.select(F.col("rb").alias("ra"), F.col("lb").alias("la"), F.col("ra").alias("rb"), F.col("la").alias("lb")))
-    other = classes.select(F.col("rid").alias("rb"), F.col("line").alias("lb"), F.col("doc_id").alias("db"))
-    earliest = (
-        both.join(other, ["rb", "lb"])
-        .groupBy(F.col("ra").alias("rid"), F.col("la").alias("line"))
-        .agg(F.min(F.struct(F.col("db").alias("doc_id"), F.col("rb").alias("rid"), F.col("lb").alias("line"))).alias("e"))
-    )
     own = F.struct("doc_id", "rid", "line")
-    known = classes.join(earliest, ["rid", "line"], "left").select(
-        "k1", "k2", "n", F.least(own, F.coalesce("e", own)).alias("first")
-    )
-    judged = lines.join(known, ["k1", "k2", "n"])
+    grouped = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "rid", "line", "prefix")).alias("p"))
+    classes = cut(grouped.select(F.xxhash64("k1", "k2", "n").alias("c"), "k1", "k2", "n", "p.doc_id", "p.rid", "p.line", "p.prefix"))
+    pairs = cut(candidates(classes, percent))
+    places = classes.select("c", "doc_id", "rid", "line")
+    at = lambda side, *names: places.select(F.col("c").alias(side), *names)
+    placed = pairs.join(at("a", F.col("rid").alias("ra"), F.col("line").alias("la")), "a").join(at("b", F.col("rid").alias("rb"), F.col("line").alias("lb")), "b")
+    placed = cut(placed)
+    links = cut(placed.join(verified_lines(placed.select("ra", "la", "rb", "lb"), rows, width, percent), ["ra", "la", "rb", "lb"]).select("a", "b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    earliest = both.join(at("b", own.alias("o")), "b").groupBy(F.col("a").alias("c")).agg(F.min("o").alias("e"))
+    known = classes.join(earliest, "c", "left").select("k1", "k2", "n", F.least(own, F.coalesce("e", own)).alias("first"))
+    judged = lines.drop("prefix").join(known, ["k1", "k2", "n"])
     return judged.select("doc_id", "rid", "line", "chars", (F.col("first") < own).alias("removed")).distinct()
 
 
