@@ -241,7 +241,7 @@ def apply_playing_probability(players: DataFrame) -> DataFrame:
 def drop_lowest_of_twelve(players: DataFrame, enabled: bool = True) -> DataFrame:
     """Flag the lowest impact player of every side that fields twelve names."""
     side = Window.partitionBy(*SIDE)
-    lowest = F.row_number().over(side.orderBy("impact_base", "xi_place", "player_id"))
+    lowest = F.row_number().over(side.orderBy(F.round("impact_base", 9), "xi_place", "player_id"))
     dropped = (F.count(F.lit(1)).over(side) >= MAX_SQUAD) & (lowest == 1)
     return players.withColumn("dropped", dropped if enabled else F.lit(False))
 
@@ -369,7 +369,7 @@ def dynamic_par(players: DataFrame) -> DataFrame:
     bats = (F.coalesce(F.col("role_encoded"), F.lit(2)) != 1).cast("int")
     marked = players.withColumns({"_bats": bats, "_n": F.sum(bats).over(side)})
     pool = marked.where((F.col("_bats") == 1) | (F.col("_n") < 4))
-    six = top_per_key(pool, list(SIDE), [F.desc("predicted_runs"), "xi_place", "player_id"], 6)
+    six = top_per_key(pool, list(SIDE), [F.round("predicted_runs", 9).desc(), "xi_place", "player_id"], 6)
     mean = F.avg(F.coalesce("strike_rate", F.lit(130.0)))
     return six.groupBy(*SIDE).agg(
         (F.least(F.greatest(mean - 130.0, F.lit(0.0)) * 0.003, F.lit(0.12)) + 1.0).alias("dynamic_mult")
@@ -430,16 +430,17 @@ def top_bowlers(players: DataFrame, n: int = 3) -> DataFrame:
 
 
 def _role_aware(players: DataFrame, eligible: Column, by: str, n: int) -> DataFrame:
+    # Rounded keys: the last bits of a sum depend on the order of its terms.
     fixture = Window.partitionBy("fixture_id")
     marked = players.withColumn("_ok", eligible).withColumn("_n", F.sum(F.col("_ok").cast("int")).over(fixture))
     pool = marked.where(F.col("_ok") | (F.col("_n") < n))
-    order = [F.desc(by), F.asc("side"), F.asc("xi_place"), F.asc("player_id")]
+    order = [F.round(by, 9).desc(), F.asc("side"), F.asc("xi_place"), F.asc("player_id")]
     return top_per_key(pool, ["fixture_id"], order, n, rank="place").drop("_ok", "_n")
 
 
 def player_of_match(players: DataFrame) -> DataFrame:
     score = potm_score(F.col("predicted_runs"), F.col("predicted_wickets"), F.col("role_encoded"))
-    order = F.struct(score.alias("s"), -F.col("side"), -F.col("xi_place"))
+    order = F.struct(F.round(score, 9).alias("s"), -F.col("side"), -F.col("xi_place"))
     return players.groupBy("fixture_id").agg(
         F.max_by("player_id", order).alias("potm"), F.max(score).alias("potm_score")
     )

@@ -67,7 +67,7 @@ SELECT * EXCLUDE (p_runs, p_wk), data_confidence * p_runs + (1 - data_confidence
        data_confidence * p_wk + (1 - data_confidence) * 0.45 * avg(p_wk) OVER s AS pred_wk_raw
 FROM fp WINDOW s AS (PARTITION BY fixture_id, side)""",
         "impacted": """
-SELECT *, row_number() OVER (PARTITION BY fixture_id, side ORDER BY impact_base, xi_place) = 1 AND count(*) OVER (PARTITION BY fixture_id, side) >= 12 AS dropped FROM (
+SELECT *, row_number() OVER (PARTITION BY fixture_id, side ORDER BY round(impact_base, 9), xi_place) = 1 AND count(*) OVER (PARTITION BY fixture_id, side) >= 12 AS dropped FROM (
   SELECT *, predicted_runs + 25.0 * predicted_wickets + CASE WHEN role_encoded = 1 THEN 18.0 * predicted_wickets ELSE 0.0 END AS impact_base FROM (
     SELECT *, pred_runs_raw * playing_prob AS predicted_runs, pred_wk_raw * playing_prob AS predicted_wickets FROM shrunk) a) b""",
         "expected": """
@@ -83,7 +83,7 @@ SELECT fixture_id, sum(CASE WHEN side = 1 THEN predicted_runs END) AS raw1, sum(
        sum(CASE WHEN side = 1 THEN predicted_wickets END) AS wickets_by_1, sum(CASE WHEN side = 2 THEN predicted_wickets END) AS wickets_by_2
 FROM expected GROUP BY fixture_id""",
         "six_bats": """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id, side ORDER BY predicted_runs DESC, xi_place) AS k FROM (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id, side ORDER BY round(predicted_runs, 9) DESC, xi_place) AS k FROM (
   SELECT *, sum((role_encoded <> 1)::INT) OVER (PARTITION BY fixture_id, side) AS nb FROM expected) a WHERE role_encoded <> 1 OR nb < 4) b WHERE k <= 6""",
         "dyn": "SELECT fixture_id, side, 1.0 + least(0.12, 0.003 * greatest(avg(strike_rate) - 130.0, 0.0)) AS dynamic_mult FROM six_bats GROUP BY fixture_id, side",
         "tg0": """
@@ -146,14 +146,14 @@ FROM mct a JOIN mct b ON a.fixture_id = b.fixture_id AND a.replicate = b.replica
         "boards": """
 SELECT fixture_id, max(CASE WHEN kb = 1 THEN player_id END) AS best_bat, max(CASE WHEN kw = 1 THEN player_id END) AS best_bowl,
        string_agg(CASE WHEN kb <= 5 THEN player_id END, ',' ORDER BY kb) AS top5, string_agg(CASE WHEN kw <= 3 THEN player_id END, ',' ORDER BY kw) AS top3
-FROM (SELECT *, CASE WHEN okb OR nb < 5 THEN row_number() OVER (PARTITION BY fixture_id ORDER BY (okb OR nb < 5) DESC, predicted_runs DESC, side, xi_place) END AS kb,
-             CASE WHEN okw OR nw < 3 THEN row_number() OVER (PARTITION BY fixture_id ORDER BY (okw OR nw < 3) DESC, predicted_wickets DESC, side, xi_place) END AS kw
+FROM (SELECT *, CASE WHEN okb OR nb < 5 THEN row_number() OVER (PARTITION BY fixture_id ORDER BY (okb OR nb < 5) DESC, round(predicted_runs, 9) DESC, side, xi_place) END AS kb,
+             CASE WHEN okw OR nw < 3 THEN row_number() OVER (PARTITION BY fixture_id ORDER BY (okw OR nw < 3) DESC, round(predicted_wickets, 9) DESC, side, xi_place) END AS kw
       FROM (SELECT *, role_encoded <> 1 AS okb, role_encoded IN (1, 2) AS okw, sum((role_encoded <> 1)::INT) OVER (PARTITION BY fixture_id) AS nb,
                    sum((role_encoded IN (1, 2))::INT) OVER (PARTITION BY fixture_id) AS nw FROM scaled) a) b GROUP BY fixture_id""",
         "potm": """
 SELECT fixture_id, player_id AS potm, sc AS potm_score FROM (SELECT *, CASE WHEN role_encoded = 0 THEN 1.1 * predicted_runs + 18.0 * predicted_wickets WHEN role_encoded = 2 THEN 0.45 * predicted_runs + 28.0 * predicted_wickets
        ELSE predicted_runs + 25.0 * predicted_wickets END + CASE WHEN predicted_runs > 50 THEN 10.0 ELSE 0.0 END + CASE WHEN predicted_wickets >= 3 THEN 15.0 ELSE 0.0 END AS sc FROM scaled) x
-QUALIFY row_number() OVER (PARTITION BY fixture_id ORDER BY sc DESC, side, xi_place) = 1""",
+QUALIFY row_number() OVER (PARTITION BY fixture_id ORDER BY round(sc, 9) DESC, side, xi_place) = 1""",
         "outcome": """
 SELECT t.*, m.sim_p_team1, o.best_bat, o.best_bowl, o.top5, o.top3, p.potm,
        greatest(least(coalesce(0.6 * ml_p_team1 + 0.4 * sim_p_team1, sim_p_team1), 0.98), 0.02) AS ensemble_p_team1

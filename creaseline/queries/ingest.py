@@ -13,8 +13,6 @@ from creaseline.session import ensure_checkpoint_dir
 from creaseline.sources import deliveries as src
 from creaseline.streaming import drops
 
-# The given matches arrive in no date order, so no ball may count as late.
-ANY_AGE = "40000 days"
 _BALLS = "SELECT DISTINCT match_id, innings, over, ball_in_over, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries"
 
 
@@ -71,10 +69,11 @@ def _(spark, sf):
 
 @query("k01_k02_stream_unique_balls", _BALLS)
 def _(spark, sf):
-    """All delivery files of a drop folder through the deduplicating stream."""
+    """Delivery files in no date order, a part of them twice, through the deduplicating stream in several batches."""
     drop, table = _folder(spark, "drop"), _folder(spark, "table")
-    _typed(spark, sf).write.parquet(drop)
-    drops.append_deliveries(drops.read_drops(spark, drop), table, _folder(spark, "ckpt"), ANY_AGE).awaitTermination()
+    balls = _typed(spark, sf)
+    balls.unionByName(balls.where("match_id % 3 = 0")).repartition(10, F.xxhash64("match_id", "over")).write.parquet(drop)
+    drops.append_deliveries(drops.read_drops(spark, drop, files_per_batch=2), table, _folder(spark, "ckpt")).awaitTermination()
     back = spark.read.schema(DELIVERIES).option("recursiveFileLookup", "true").parquet(table)
     return back.select(*src.BALL_KEY)
 
@@ -85,8 +84,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     drop, table = _folder(spark, "drop"), _folder(spark, "totals")
-    _typed(spark, sf).write.parquet(drop)
-    drops.write_innings_totals(drops.read_drops(spark, drop), table, _folder(spark, "ckpt"), ANY_AGE).awaitTermination()
+    _typed(spark, sf).repartition(10, F.xxhash64("match_id", "over")).write.parquet(drop)
+    drops.write_innings_totals(drops.read_drops(spark, drop, files_per_batch=2), table, _folder(spark, "ckpt")).awaitTermination()
     return drops.current_innings_totals(spark, table)
 
 

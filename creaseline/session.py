@@ -39,12 +39,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a temporary one only where none is configured."""
+    """Shared checkpoint folder of the cluster; a temporary one only in a single-machine session without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="creaseline-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

@@ -129,8 +129,8 @@ def test_streams(spark, sf_dir, tmp_path):
     early.coalesce(1).write.mode("append").parquet(drop)
 
     def run():
-        drops.append_deliveries(drops.read_drops(spark, drop), table, ckpt, lateness="40000 days").awaitTermination()
-        drops.write_innings_totals(drops.read_drops(spark, drop), str(tmp_path / "totals"), ckpt, "40000 days").awaitTermination()
+        drops.append_deliveries(drops.read_drops(spark, drop), table, ckpt, buckets=4).awaitTermination()
+        drops.write_innings_totals(drops.read_drops(spark, drop), str(tmp_path / "totals"), ckpt).awaitTermination()
         drops.refresh_player_stats(drops.read_drops(spark, drop), table, str(tmp_path / "stats"), ckpt, buckets=4).awaitTermination()
 
     run()
