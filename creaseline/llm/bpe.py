@@ -194,10 +194,10 @@ class Memo:
     def __call__(self, texts: list[str]) -> list[list]:
         split = [self.chunks_of(t) for t in texts]
         known = self.known
-        missing = list({c for chunks in split for c in chunks if c not in known})
+        missing = list(set().union(*split).difference(known))
         if len(known) + len(missing) > self.limit:
             known.clear()
-            missing = list({c for chunks in split for c in chunks})
+            missing = list(set().union(*split))
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
             known.update(zip(part, self.compute(part)))
