@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.llm.common import cut, row_slices, small, written
-from creaseline.llm.quality import find_words
 
 #: Words of a shingle (the tokens of a line), percent of similarity, and words below which a line is left alone.
 WIDTH, PERCENT, MIN_WORDS = 5, 80, 3
@@ -33,40 +32,78 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0xD1342543DE82EF95
+_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, n or more of each."""
+    if len(_powers["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            steps = np.full(n, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps)
+    return _powers["up"], _powers["down"]
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words of UTF-8 bytes: differences of one running polynomial, moved to power 0."""
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACES[data]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers_to(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return starts, _mix((total[ends] - total[starts]) * down[starts])
+
+
 def line_tokens(texts: list[str | None], width: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     """Tokens of the lines of texts: (text, line number, characters) per line, and (line, token), repeats included.
 
     Lines end at \\n.  A line of `min_words` words or more has its `width`-word shingles as tokens, or its whole
     word sequence where it has fewer words; other lines have no row.
     """
-    owner, number, chars, counts, flat, shorts = [], [], [], [], [], []
-    for t, text in enumerate(texts):
-        for i, line in enumerate((text or "").split("\n")):
-            words = find_words(line)
-            if len(words) >= max(1, min_words):
-                if len(words) < width:
-                    shorts.append(len(owner))
-                owner.append(t)
-                number.append(i)
-                chars.append(len(line))
-                counts.append(len(words))
-                flat.extend(words)
-    hashed = word_hashes(flat)
-    counts = np.array(counts, dtype=np.int64)
+    own = [t or "" for t in texts]
+    data = np.frombuffer(("\n".join(own) + "\n").encode(), dtype=np.uint8)
+    per_text = np.array([t.count("\n") + 1 for t in own], dtype=np.int64)
+    stops = np.flatnonzero(data == 10)
+    starts, hashed = hashed_words(data)
+    line_of = np.searchsorted(stops, starts)
+    counts = np.bincount(line_of, minlength=len(stops))
+    keep = counts >= max(1, min_words)
+    hashed = hashed[keep[line_of]]
+    text_of = np.repeat(np.arange(len(own)), per_text)
+    number = np.arange(len(stops)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = points[stops] - points[np.concatenate([[0], stops[:-1] + 1])]
+    owner, number, chars, counts = text_of[keep], number[keep].astype(np.int32), chars[keep], counts[keep]
     line_of = np.repeat(np.arange(len(counts)), counts)
-    n = max(0, len(flat) - width + 1)
+    n = max(0, len(hashed) - width + 1)
     rolled = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         rolled += hashed[k : k + n] * _POWER[k]
     whole = line_of[:n] == line_of[width - 1 : width - 1 + n]
     tokens, lines = rolled[whole], line_of[:n][whole]
-    if shorts:
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        own = [np.add.reduce(hashed[starts[i] : starts[i] + counts[i]] * _POWER[: counts[i]]) + np.uint64(counts[i]) for i in shorts]
-        tokens, lines = np.concatenate([tokens, np.array(own, dtype=np.uint64)]), np.concatenate([lines, np.array(shorts)])
-    tokens = (tokens ^ (tokens >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    tokens ^= tokens >> np.uint64(29)
-    return np.array(owner, dtype=np.int64), np.array(number, dtype=np.int32), np.array(chars, dtype=np.int64), lines, tokens
+    shorts = np.flatnonzero(counts < width)
+    if len(shorts):
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        brief = [np.add.reduce(hashed[first[i] : first[i] + counts[i]] * _POWER[: counts[i]]) + np.uint64(counts[i]) for i in shorts]
+        tokens, lines = np.concatenate([tokens, np.array(brief, dtype=np.uint64)]), np.concatenate([lines, shorts])
+    return owner, number, chars, lines, _mix(tokens)
+
+
+def _by_line(tokens: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Order by (line, token); a stable sort of 16-bit numbers is a counting sort."""
+    order = np.argsort(tokens)
+    owner = lines[order]
+    return order[np.argsort(owner.astype(np.uint16) if len(owner) and owner.max() < 1 << 16 else owner, kind="stable")]
 
 
 def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS, ranks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -78,7 +115,7 @@ def token_sets(texts: list[str | None], width: int, min_words: int = MIN_WORDS,
     owner, number, chars, lines, tokens = line_tokens(texts, width, min_words)
     if ranks is not None:
         tokens = (tokens & np.uint64((1 << 48) - 1)) | (ranks[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(48))
-    order = np.lexsort((tokens, lines))
+    order = _by_line(tokens, lines)
     tokens, lines = tokens[order], lines[order]
     first = np.ones(len(tokens), dtype=bool)
     first[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
@@ -148,17 +185,38 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return own.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of line classes that share a prefix token and pass the length and positional filters."""
-    entries = classes.select("c", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.select("token", "c", (F.col("n").cast("long") * 2**31 + F.col("pos")).alias("np"))
-    x, y = entries.alias("x"), entries.alias("y")
-    n1, n2 = F.shiftright("x.np", 31), F.shiftright("y.np", 31)
-    p1, p2 = F.col("x.np").bitwiseAND(F.lit(2**31 - 1)), F.col("y.np").bitwiseAND(F.lit(2**31 - 1))
+def shared_entries(classes: DataFrame) -> DataFrame:
+    """(token, c, doc_id, np) of the prefix tokens that two or more classes have; np packs size and position."""
+    entries = classes.select("c", "doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "c", "doc_id", (F.col("n").cast("long") * 2**31 + F.col("pos")).alias("np"))
+    often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    return cut(entries.join(small(cut(often)), "token"))
+
+
+def _passes(x: Column, y: Column, percent: int) -> Column:
+    """Length and positional filters on two packed sizes and positions."""
+    n1, n2 = F.shiftright(x, 31), F.shiftright(y, 31)
+    p1, p2 = x.bitwiseAND(F.lit(2**31 - 1)), y.bitwiseAND(F.lit(2**31 - 1))
     sized = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    placed = (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & sized & placed
-    return x.join(y, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    return sized & ((100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2))
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: Column, percent: int) -> DataFrame:
+    a, b = F.col("x.c"), F.col("y.c")
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (a != b) & on & _passes(F.col("x.np"), F.col("y.np"), percent))
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def head_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes and the earliest class of each of their prefix tokens: at most one per entry."""
+    heads = entries.groupBy("token").agg(F.min(F.struct("doc_id", "c", "np")).alias("h")).select("token", "h.c", "h.np")
+    return _pairs(heads, entries, F.lit(True), percent)
+
+
+def open_pairs(entries: DataFrame, settled: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class that no confirmed pair removes yet and a class that may stand before it."""
+    rest = entries.join(settled, "c", "left_anti")
+    return _pairs(entries, rest, F.col("x.doc_id") <= F.col("y.doc_id"), percent).join(tried, ["a", "b"], "left_anti")
 
 
 def verified_lines(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -199,13 +257,24 @@ def judged_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     own = F.struct("doc_id", "rid", "line")
     grouped = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "rid", "line", "prefix")).alias("p"))
     classes = cut(grouped.select(F.xxhash64("k1", "k2", "n").alias("c"), "k1", "k2", "n", "p.doc_id", "p.rid", "p.line", "p.prefix"))
-    pairs = cut(candidates(classes, percent))
     places = classes.select("c", "doc_id", "rid", "line")
     at = lambda side, *names: places.select(F.col("c").alias(side), *names)
-    placed = pairs.join(at("a", F.col("rid").alias("ra"), F.col("line").alias("la")), "a").join(at("b", F.col("rid").alias("rb"), F.col("line").alias("lb")), "b")
-    placed = cut(placed)
-    links = cut(placed.join(verified_lines(placed.select("ra", "la", "rb", "lb"), rows, width, percent), ["ra", "la", "rb", "lb"]).select("a", "b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        placed = pairs.join(at("a", F.col("rid").alias("ra"), F.col("line").alias("la")), "a").join(at("b", F.col("rid").alias("rb"), F.col("line").alias("lb")), "b")
+        placed = cut(placed)
+        good = verified_lines(placed.select("ra", "la", "rb", "lb"), rows, width, percent)
+        links = placed.join(good, ["ra", "la", "rb", "lb"]).select("a", "b")
+        return cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    # One earlier line is enough: variants of a line meet its earliest one first, and only what that does not
+    # remove is compared with all others.
+    entries = shared_entries(classes)
+    tried = cut(head_pairs(entries, percent))
+    first_links = confirmed(tried)
+    ends = first_links.join(at("a", own.alias("oa")), "a").join(at("b", own.alias("ob")), "b")
+    settled = ends.where("ob < oa").select(F.col("a").alias("c")).distinct()
+    both = first_links.unionByName(confirmed(cut(open_pairs(entries, settled, tried, percent))))
     earliest = both.join(at("b", own.alias("o")), "b").groupBy(F.col("a").alias("c")).agg(F.min("o").alias("e"))
     known = classes.join(earliest, "c", "left").select("k1", "k2", "n", F.least(own, F.coalesce("e", own)).alias("first"))
     judged = lines.drop("prefix").join(known, ["k1", "k2", "n"])
