@@ -160,6 +160,18 @@ def test_line_dedup(spark, sf_dir, rows, awkward, empty):
     assert lines.without_repeated_lines(empty).count() == 0
 
 
+def test_line_tokens_do_not_depend_on_place():
+    line = "Één twee\tdrie vier  vijf zes 七 acht"
+    texts = [line, None, "", "kort\n" + line + "\n\n" + line.replace("\t", " "), "een twee drie", "a b c d e f g h"]
+    owner, number, chars, of, tokens = lines.line_tokens(texts, 5)
+    sets = [tokens[of == i].tolist() for i in range(len(owner))]
+    assert owner.tolist() == [0, 3, 3, 4, 5] and number.tolist() == [0, 1, 3, 0, 0]
+    assert chars.tolist() == [len(line)] * 3 + [13, 15]
+    assert sets[0] == sets[1] == sets[2] and [len(set(s)) for s in sets] == [4, 4, 4, 1, 4]
+    assert len(set(sets[0]) | set(sets[3]) | set(sets[4])) == 9
+    assert all(len(x) == 0 for x in lines.line_tokens([None, ""], 5))
+
+
 def test_decontamination(spark, sf_dir, rows, awkward, empty):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in QUERIES["op3_decontamination"](spark, sf_dir).collect()}
