@@ -86,9 +86,12 @@ def two_team_rows(aggregates: DataFrame) -> DataFrame:
 
 
 def resolve_labels(rows: DataFrame, official: DataFrame, proxy: DataFrame) -> DataFrame:
-    """Official winner where it names a side (blank means tie), else the runs proxy, else missing."""
+    """Official winner where it names a side (blank means tie), else the runs proxy, else missing.
+
+    Where rows of a match disagree, the alphabetically first name counts.
+    """
     named = official.groupBy("match_id").agg(
-        F.first(clean_text("winner"), ignorenulls=True).alias("_official"), F.lit(True).alias("_has_official")
+        F.min(clean_text("winner")).alias("_official"), F.lit(True).alias("_has_official")
     )
     joined = rows.join(named, "match_id", "left").join(
         proxy.select("match_id", F.col("winner").alias("_proxy")), "match_id", "left"
