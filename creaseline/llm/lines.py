@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from creaseline.llm.common import cut, row_slices, small, written
 
-#: Words of a shingle (the tokens of a line), percent of similarity, and words below which a line is left alone.
-WIDTH, PERCENT, MIN_WORDS = 5, 80, 3
+#: Words of a shingle (the tokens of a line), percent of similarity, and words that a compared line has at least.
+WIDTH, PERCENT, MIN_WORDS = 5, 80, 1
 #: Positions of the table of token frequencies: bounded, whatever the number of tokens.
 BUCKETS = 1 << 16
 _POWER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(64)], dtype=np.uint64)
@@ -64,7 +64,7 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, _mix((total[ends] - total[starts]) * down[starts])
 
 
-def line_tokens(texts: list[str | None], width: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+def line_tokens(texts: list[str | None], width: int, min_words: int = 3) -> tuple[np.ndarray, ...]:
     """Tokens of the lines of texts: (text, line number, characters) per line, and (line, token), repeats included.
 
     Lines end at \\n.  A line of `min_words` words or more has its `width`-word shingles as tokens, or its whole
@@ -129,7 +129,7 @@ def token_frequencies(docs: DataFrame, width: int) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for _, _, texts in row_slices(batch):
-                total += np.bincount((line_tokens(texts, width)[4] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((line_tokens(texts, width, MIN_WORDS)[4] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -251,6 +251,7 @@ def judged_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     Lines are ordered by (doc_id, hash of the row's text, line number).  A line is removed if an earlier line of
     any document has a Jaccard similarity of `percent` or more with it; equal sets are collapsed before the join.
+    Every line with a word takes part; one of fewer than `width` words repeats only an equal one.
     """
     rows = with_row_ids(docs)
     lines = written(line_rows(rows, width, percent, token_frequencies(rows, width)), "lines")
@@ -303,7 +304,7 @@ def _line_count(text: Column) -> Column:
 def without_repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """`docs` with the lines removed that repeat an earlier line, other columns and rows unchanged.
 
-    Lines of fewer than MIN_WORDS words, and rows without doc_id or text, are left alone; so is the order of the
+    Lines without a word, and rows without doc_id or text, are left alone; so is the order of the
     lines that stay.  Rows that are equal in doc_id and text are changed alike.  Empty in, empty out.
     """
     gone = judged_lines(docs, width, percent).where("removed").groupBy("rid").agg(F.collect_set("line").alias("_gone"))
