@@ -303,6 +303,20 @@ def _(spark, sf):
     return src.dedupe_deliveries(d).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "g02_dedupe_mixed_sources",
+    """WITH d AS (SELECT DISTINCT innings, over, ball_in_over, match_id, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries)
+    SELECT match_id, count(*) AS n FROM (SELECT * FROM d WHERE match_id % 4 <> 0 UNION ALL SELECT DISTINCT NULL, NULL, NULL, match_id, batter, bowler, non_striker, runs_off_bat, extras FROM d WHERE match_id % 4 = 0) x GROUP BY match_id""",
+)
+def _(spark, sf):
+    """One source with places, and one without that has a half of its matches in common with it: below 90 % together."""
+    d = views.deliveries(spark, sf)
+    full = d.where("match_id % 4 <> 0").withColumn("path", F.lit("full"))
+    bare = d.where("match_id % 2 = 0").withColumns({c: F.lit(None).cast(d.schema[c].dataType) for c in src.SHORT_KEY_DROPS})
+    rows = full.unionByName(bare.withColumn("path", F.lit("bare")))
+    return src.dedupe_deliveries(rows, source=("path",)).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "g03_distinct_keep_last",
     "SELECT player_id, venue, match_id, date FROM pms QUALIFY row_number() OVER (PARTITION BY player_id, venue ORDER BY date DESC, match_id DESC) = 1",
