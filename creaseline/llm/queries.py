@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import codec, decontaminate, id_store, lines, near_copies, passages, pii, quality, token_counts, toxicity
+from creaseline.llm import codec, decontaminate, id_store, infill, lattice, lines, near_copies, passages, pii, quality, token_counts, toxicity, whitening
 from creaseline.llm.common import documents, shared_path, table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -66,9 +66,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.infilled(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_near_copies, op5_line_dedup, op6_bpe_round_trip, op7_id_store, op8_toxicity, op9_repeated_passages, op10_personal_data)
+    for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_near_copies, op5_line_dedup, op6_bpe_round_trip, op7_id_store, op8_toxicity, op9_repeated_passages, op10_personal_data, op11_whitening, op12_infill, op13_near_vectors)
 }
 
 
