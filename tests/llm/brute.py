@@ -103,7 +103,7 @@ def near_classes(rows, width, percent=80):
     return {i: (len(sets[i]), component[i]) for i in ids}
 
 
-def removed_lines(rows, width=5, percent=80, min_words=3):
+def removed_lines(rows, width=5, percent=80, min_words=1):
     """(doc_id, line) of lines with an earlier line of that similarity; rows is (doc_id, text)."""
     lines = []
     for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t is not None):

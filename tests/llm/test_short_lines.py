@@ -6,7 +6,6 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-import test_text_operators  # noqa: E402
 
 from creaseline.llm import lines  # noqa: E402
 from creaseline.llm.queries import QUERIES  # noqa: E402
@@ -25,11 +24,6 @@ def test_short_lines_are_removed(spark):
 
 def test_op5_compares_every_line_with_a_word(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    expected = brute.removed_lines(rows, min_words=1)
+    expected = brute.removed_lines(rows)
     assert removed(QUERIES["op5_line_dedup"](spark, sf_dir).collect()) == expected
-    assert len(expected) > len(brute.removed_lines(rows))
-
-
-def test_pipeline_compares_every_line_with_a_word(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(brute.removed_lines, "__defaults__", (5, 80, 1))
-    test_text_operators.test_pipeline(spark, sf_dir)
+    assert len(expected) > len(brute.removed_lines(rows, min_words=3))
