@@ -9,26 +9,19 @@ from pyspark.sql import functions as F
 
 from creaseline.operators.windows import prior_cumulative
 
-BUCKETS = 4096
-
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (name, median) per column.
 
-    Equal values are counted together first, so a hot value costs one row.  The cumulative count over
-    the distinct values of a column is chunked into value ranges.
+    Equal values are counted together first, so a hot value costs one row.  The cumulative count over the distinct
+    values of a column runs in chunks that hold equally many values each, wherever the values lie.
     """
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")
     ).select("r.name", "r.x").where(F.col("x").isNotNull())
     counted = long.groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
-    bounds = counted.groupBy("name").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total")
-    )
-    placed = counted.join(bounds, "name")
-    width = F.col("hi") - F.col("lo")
-    chunk = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * BUCKETS)).otherwise(F.lit(0)).cast("long")
-    ranked = prior_cumulative(placed, ["name"], ["x"], {"below": F.col("n")}, chunk)
+    totals = counted.groupBy("name").agg(F.sum("n").alias("total"))
+    ranked = prior_cumulative(counted, ["name"], ["x"], {"below": F.col("n")}).join(F.broadcast(totals), "name")
     lower, upper = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
     upto = F.col("below") + F.col("n")
     middle = ranked.where((upto >= lower) & (F.col("below") < upper))

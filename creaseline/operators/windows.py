@@ -1,27 +1,93 @@
 """Time-ordered windows that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(player)`` sends a player's whole history to one task.  Every function
-here cuts a key's timeline into chunks (calendar months by default) and carries the little that
-crosses a chunk border: the last ``depth`` rows for row frames, one running total for cumulative
-frames.  The row-level window is then partitioned by (key, chunk), and the only per-key window runs
-over at most ``depth`` rows (or one row) per chunk.
+A plain ``Window.partitionBy(player)`` sends a player's whole history to one task.  Every function here cuts the
+timeline of a large key into chunks of about equal depth and carries the little that crosses a chunk border: the
+last ``depth`` rows for row frames, one running total for cumulative frames.  Borders are places in the whole order
+(date, then the ties), so a key with all its rows on one day, or without dates, is spread like any other.  The
+row-level window is partitioned by (key, chunk), and the only per-key windows run over at most ``depth`` rows, or one
+row, per chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creaseline.session import cut_lineage
+
 CHUNK = "_chunk"
 HALO = "_halo"
-UNDATED_CHUNK = 2**31 - 1
-
-
-def month_chunk(date: Column) -> Column:
-    """Calendar month as an ordered integer; undated rows form the last chunk."""
-    return F.coalesce(F.year(date) * 12 + F.month(date), F.lit(UNDATED_CHUNK)).cast("int")
+#: Rows of one key that one task sorts, and how many rows of the histogram stand for them.  A chunk holds
+#: ROWS_PER_CHUNK rows with a relative deviation of about one over the root of SAMPLES_PER_CHUNK.
+ROWS_PER_CHUNK, SAMPLES_PER_CHUNK = 200_000, 64
+#: Borders (a few values each) up to which the list of borders is broadcast; beyond, it is joined by key.
+BROADCAST_BORDERS = 100_000
+
+
+def _place(order: Sequence[str]) -> Column:
+    """A row's place in an order with nulls last, as one comparable value."""
+    return F.struct(*[x for n in order for x in (F.col(n).isNull().alias(f"n_{n}"), F.col(n))])
+
+
+@dataclass
+class Borders:
+    """Sorted chunk borders of the keys that have any; ``table`` (keys, _borders) is None when no key has."""
+
+    keys: list[str]
+    order: list[str]
+    table: DataFrame | None
+    count: int = 0
+    longest: int = 0
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the chunk of each: the number of its key's borders at or before its place."""
+        if self.table is None:
+            return rows.withColumn(CHUNK, F.lit(0))
+        if self.keys:
+            lists = self.table.withColumnsRenamed({k: f"_b_{k}" for k in self.keys})
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in self.keys])
+            joined = rows.join(F.broadcast(lists) if self.count <= BROADCAST_BORDERS else lists, same, "left")
+        else:
+            joined = rows.withColumn("_borders", self.table.select("_borders").scalar())
+        found = self._passed(F.col("_borders"), _place(self.order))
+        return joined.withColumn(CHUNK, F.coalesce(found, F.lit(0))).drop("_borders", *[f"_b_{k}" for k in self.keys])
+
+    def _passed(self, borders: Column, place: Column) -> Column:
+        """How many sorted borders are at or before a place, by halving steps instead of a scan of the list."""
+        steps = [1 << k for k in reversed(range(self.longest.bit_length()))]
+
+        def step(passed: Column, width: Column) -> Column:
+            further = passed + width
+            fits = (further <= F.size(borders)) & (F.get(borders, further - 1) <= place)
+            return F.when(fits, further).otherwise(passed)
+
+        return F.when(borders.isNotNull(), F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step))
+
+
+def chunk_borders(rows: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None) -> Borders:
+    """Borders that cut the rows of each key into chunks of about ``rows_per_chunk``, equally deep whatever the values.
+
+    The histogram is a sample of places, SAMPLES_PER_CHUNK for a chunk; every so many places of a key make a border.
+    Only borders come from it: which chunk a row falls into changes no result.  The borders are fixed by a checkpoint
+    before any row uses them.  Few keys have any, and where none has, windows over whole keys are left to Spark.
+    """
+    depth = ROWS_PER_CHUNK if rows_per_chunk is None else rows_per_chunk
+    keys, order = list(keys), list(order)
+    every = max(1, min(SAMPLES_PER_CHUNK, depth))
+    seen = rows.select(*keys, _place(order).alias("_at")).sample(every / depth, 17)
+    by_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at")
+    chosen = seen.withColumn("_n", F.row_number().over(by_key)).where(F.col("_n") % every == 0)
+    lists = chosen.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_borders")).where(F.size("_borders") > 0)
+    size = [F.coalesce(F.sum(F.size("_borders")), F.lit(0)), F.coalesce(F.max(F.size("_borders")), F.lit(0))]
+    if not lists.agg(*size).first()[0]:
+        return Borders(keys, order, None)
+    lists = cut_lineage(lists)
+    return Borders(keys, order, lists, *lists.agg(*size).first())
 
 
 def ordered(names: Sequence[str]) -> list[Column]:
@@ -40,15 +106,19 @@ def with_prior_rows(
     values: Sequence[str],
     depth: int,
     flag: str | None = None,
-    chunk: Column | None = None,
+    borders: Borders | None = None,
 ) -> DataFrame:
     """Rows of ``df`` plus, for each (key, chunk), copies of the rows just before the chunk.
 
     The copies have ``_halo = true`` and carry only ``keys``, ``order``, ``values`` and ``flag``.
-    With ``flag`` the copies also cover the last ``depth`` rows for which the flag is true.
+    With ``flag`` the copies also cover the last ``depth`` rows for which the flag is true.  ``borders`` are taken
+    from ``df`` if not given.
     """
-    chunk = chunk if chunk is not None else month_chunk(F.col(order[0]))
-    rows = df.withColumn(CHUNK, chunk)
+    borders = chunk_borders(df, keys, order) if borders is None else borders
+    rows = borders.apply(df)
+    if borders.table is None:
+        alone = rows.withColumn(HALO, F.lit(False))
+        return alone.repartition(*keys) if flag else alone
     carried = list(dict.fromkeys([*order, *values, *([flag] if flag else [])]))
     within_desc = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(n).desc_nulls_first() for n in order])
 
@@ -106,11 +176,11 @@ def prior_rolling(
     order: Sequence[str],
     outputs: dict[str, tuple[str, str]],
     depth: int = 5,
-    chunk: Column | None = None,
+    borders: Borders | None = None,
 ) -> DataFrame:
     """Aggregates of the ``depth`` rows before each row; ``outputs`` maps name to (function, column)."""
     values = list(dict.fromkeys(c for _, c in outputs.values()))
-    rows = with_prior_rows(df, keys, order, values, depth, chunk=chunk)
+    rows = with_prior_rows(df, keys, order, values, depth, borders=borders)
     frame = chunk_window(keys, order).rowsBetween(-depth, -1)
     calls = {name: getattr(F, fn)(F.col(col)).over(frame) for name, (fn, col) in outputs.items()}
     return drop_prior_rows(rows.withColumns(calls))
@@ -139,10 +209,10 @@ def conditional_prior(
     flag: str,
     outputs: dict[str, str],
     depth: int = 5,
-    chunk: Column | None = None,
+    borders: Borders | None = None,
 ) -> DataFrame:
     """Mean of each value over the last ``depth`` flagged rows before each row; null when there are none."""
-    rows = with_prior_rows(df, keys, order, list(outputs.values()), depth, flag=flag, chunk=chunk)
+    rows = with_prior_rows(df, keys, order, list(outputs.values()), depth, flag=flag, borders=borders)
     rows = rows.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
     return drop_prior_rows(add_conditional_rolling(rows, keys, order, flag, outputs, depth))
 
@@ -152,42 +222,41 @@ def prior_cumulative(
     keys: Sequence[str],
     order: Sequence[str],
     sums: dict[str, Column],
-    chunk: Column | None = None,
+    borders: Borders | None = None,
     totals_from: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over all earlier rows of the key; 0 when there are none or a key is null.
 
     Chunk totals are combined before the shuffle, their running sum has one row per (key, chunk), and the
     row-level frame never leaves a chunk.  ``totals_from`` names a cheaper table with the same rows to
-    take the totals from.
+    take borders and totals from.
     """
-    chunk = chunk if chunk is not None else month_chunk(F.col(order[0]))
-    rows = df.withColumn(CHUNK, chunk).withColumns({f"_v_{n}": c.cast("double") for n, c in sums.items()})
     source = df if totals_from is None else totals_from
-    totals = (
-        source.withColumn(CHUNK, chunk)
-        .groupBy(*keys, CHUNK)
-        .agg(*[F.sum(c.cast("double")).alias(f"_t_{n}") for n, c in sums.items()])
-    )
-    # With no keys this window orders the chunk totals only, whose number is fixed by the chunking.
-    earlier = (
-        (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-        .orderBy(CHUNK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
-    joined = rows.join(carry, [*keys, CHUNK], "left")
+    borders = chunk_borders(source, keys, order) if borders is None else borders
+    rows = borders.apply(df).withColumns({f"_v_{n}": c.cast("double") for n, c in sums.items()})
+    carried = {n: F.lit(0.0) for n in sums}
+    if borders.table is not None:
+        totals = (
+            borders.apply(source).groupBy(*keys, CHUNK).agg(*[F.sum(c.cast("double")).alias(f"_t_{n}") for n, c in sums.items()])
+        )
+        # With no keys this window orders the chunk totals only.
+        earlier = (
+            (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+            .orderBy(CHUNK)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
+        rows = rows.join(carry, [*keys, CHUNK], "left")
+        carried = {n: F.coalesce(F.col(f"_c_{n}"), F.lit(0.0)) for n in sums}
     inside = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
     result = {
-        n: F.when(
-            known, F.coalesce(F.col(f"_c_{n}"), F.lit(0.0)) + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0.0))
-        ).otherwise(F.lit(0.0))
+        n: F.when(known, carried[n] + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0.0))).otherwise(F.lit(0.0))
         for n in sums
     }
-    return joined.withColumns(result).drop(CHUNK, *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
+    return rows.withColumns(result).drop(CHUNK, *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
 
 
 def with_table_stats(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:
@@ -195,18 +264,9 @@ def with_table_stats(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
 
 
-def date_id_chunk(df: DataFrame, date: str, ident: str, parts: int = 16) -> Column:
-    """Order-preserving chunk for a (date, id) order: the day, split into ``parts`` id ranges."""
-    bounds = df.agg(F.struct(F.min(ident).alias("lo"), F.max(ident).alias("hi")).alias("b")).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    part = F.floor((F.col(ident) - lo) * F.lit(parts) / (hi - lo + 1))
-    day = F.coalesce(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")), F.lit(10**7))
-    return (day * parts + part).cast("long")
-
-
-def global_row_number(df: DataFrame, order: Sequence[str], chunk: Column, name: str = "rn") -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", borders: Borders | None = None) -> DataFrame:
     """1-based position of each row in the total order, without sorting the table in one task."""
-    numbered = prior_cumulative(df, [], order, {name: F.lit(1)}, chunk)
+    numbered = prior_cumulative(df, [], order, {name: F.lit(1)}, borders)
     return numbered.withColumn(name, (F.col(name) + 1).cast("long"))
 
 

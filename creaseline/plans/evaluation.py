@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.functions.text import clip
-from creaseline.operators.windows import date_id_chunk, global_row_number
+from creaseline.operators.windows import global_row_number
 
 LOG_LOSS_EPS = 1e-15
 
 
 def time_position(rows: DataFrame, date: str = "date", ident: str = "match_id", ties: Sequence[str] = ()) -> DataFrame:
     """``rn`` (1-based, by date, id and ties) and the row count ``n`` on every row."""
-    ranked = global_row_number(rows, [date, ident, *ties], date_id_chunk(rows, date, ident))
+    ranked = global_row_number(rows, [date, ident, *ties])
     total = rows.agg(F.count(F.lit(1))).scalar()
     return ranked.withColumn("n", total)
 
@@ -98,14 +98,13 @@ def reliability_table(scored: DataFrame, y: str, p: str, bins: int = 10) -> Data
 
 
 def ranking_auc(scored: DataFrame, y: str, p: str) -> DataFrame:
-    """Exact area under the ROC curve: equal scores are counted together, then ranked by score range."""
+    """Exact area under the ROC curve: equal scores are counted together, then ranked in equally deep chunks."""
     from creaseline.operators.windows import prior_cumulative
 
     by_score = scored.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(
         F.sum(F.col(y).cast("double")).alias("pos"), F.sum(F.lit(1.0) - F.col(y).cast("double")).alias("neg")
     )
-    chunk = F.floor(clip(F.col("_p"), 0.0, 1.0) * 4096).cast("long")
-    ranked = prior_cumulative(by_score, [], ["_p"], {"neg_below": F.col("neg")}, chunk)
+    ranked = prior_cumulative(by_score, [], ["_p"], {"neg_below": F.col("neg")})
     return ranked.agg(
         F.try_divide(
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")

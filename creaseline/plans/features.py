@@ -155,16 +155,24 @@ def venue_matches(stats: DataFrame) -> DataFrame:
     )
 
 
-def venue_league_priors(stats: DataFrame) -> DataFrame:
-    """Mean of per-match rates over earlier matches at the venue, one row per match."""
+def venue_rates(matches: DataFrame) -> DataFrame:
+    """`venue_matches` rows with the mean of per-match rates over earlier matches at the venue."""
     inputs = dict(zip(VENUE_PRIORS, ("avg_runs_per_player", "avg_wk_per_player", "match_sr", "match_econ")))
     sums = {f"s_{o}": F.col(c) for o, c in inputs.items()}
     sums |= {f"n_{o}": F.col(c).isNotNull().cast("int") for o, c in inputs.items()}
-    rows = prior_cumulative(venue_matches(stats).where(F.col("venue").isNotNull()), ["venue"], list(TIMELINE), sums)
-    rates = rows.select("match_id", "venue", "date", *[F.try_divide(f"s_{o}", f"n_{o}").alias(o) for o in VENUE_PRIORS])
-    return keep_one(rates, ["match_id"], [F.col("venue"), F.col("date").asc_nulls_last()]).select(
-        "match_id", *VENUE_PRIORS
-    )
+    rows = prior_cumulative(matches, ["venue"], list(TIMELINE), sums)
+    return rows.withColumns({o: F.try_divide(f"s_{o}", f"n_{o}") for o in VENUE_PRIORS}).drop(*sums)
+
+
+def one_venue_per_match(rates: DataFrame) -> DataFrame:
+    """The first venue row of each match."""
+    kept = keep_one(rates.select("match_id", "venue", "date", *VENUE_PRIORS), ["match_id"], [F.col("venue"), F.col("date").asc_nulls_last()])
+    return kept.select("match_id", *VENUE_PRIORS)
+
+
+def venue_league_priors(stats: DataFrame) -> DataFrame:
+    """Mean of per-match rates over earlier matches at the venue, one row per match."""
+    return one_venue_per_match(venue_rates(venue_matches(stats).where(F.col("venue").isNotNull())))
 
 
 def player_globals(stats: DataFrame) -> DataFrame:
@@ -174,7 +182,11 @@ def player_globals(stats: DataFrame) -> DataFrame:
 
 def pair_priors(deliveries: DataFrame, match_dates: DataFrame) -> DataFrame:
     """Totals of earlier meetings per (batter, bowler), never reaching into another pair's history."""
-    pairs = pair_match_table(deliveries).join(match_dates, "match_id", "left")
+    return pair_history(pair_match_table(deliveries).join(match_dates, "match_id", "left"))
+
+
+def pair_history(pairs: DataFrame) -> DataFrame:
+    """Dated (match, batter, bowler) rows with the totals of the pair's earlier rows."""
     rows = prior_cumulative(
         pairs,
         ["batter", "bowler"],
@@ -322,11 +334,19 @@ def player_features(stats: DataFrame, deliveries: DataFrame, franchises: DataFra
     ``stats`` is read by several branches; pass the written player-match table.
     """
     base = with_franchise_flag(with_team_and_rates(stats), franchises)
-    rows = venue_history(rolling_features(base), totals_from=base)
-    rows = rows.join(venue_league_priors(base), "match_id", "left").join(player_globals(base), "player_id", "left")
-    rows = with_matchups(rows, pair_priors(deliveries, match_dates(stats)))
-    rows = rows.withColumns(venue_fallback())
-    rows = with_opponent_strength(rows, team_past_strength(team_match_strength(base)), means_from=base)
+    lines = venue_history(rolling_features(base), totals_from=base)
+    past = team_past_strength(team_match_strength(base))
+    return assembled_features(lines, venue_league_priors(base), pair_priors(deliveries, match_dates(stats)), past, means_from=base)
+
+
+def assembled_features(lines: DataFrame, venue_priors: DataFrame, pairs: DataFrame, past: DataFrame, means_from: DataFrame) -> DataFrame:
+    """Feature table from its histories: player lines, venue priors per match, pair priors and past team strength.
+
+    ``means_from`` has the same players and matches as ``lines`` and gives the means over players and over the table.
+    """
+    rows = lines.join(venue_priors, "match_id", "left").join(player_globals(means_from), "player_id", "left")
+    rows = with_matchups(rows, pairs).withColumns(venue_fallback())
+    rows = with_opponent_strength(rows, past, means_from=means_from)
     rows = rows.withColumns(play_style_scores())
     return rows.withColumn("is_franchise_match", F.col("is_franchise_match").cast("int")).select(*PLAYER_FEATURES)
 

@@ -9,6 +9,7 @@ from creaseline.functions.franchise import canonical_franchise, same_franchise
 from creaseline.functions.text import clean_text
 from creaseline.operators.windows import chunk_window, conditional_prior, drop_prior_rows, with_prior_rows
 from creaseline.plans.profiles import NEUTRAL_PROFILE, with_profiles
+from creaseline.session import stage_table
 
 MOMENTUM_DEPTH = 5
 MOMENTUM_NEUTRAL = 0.5
@@ -215,7 +216,8 @@ def match_rows(
     )
     rows = resolve_labels(two_team_rows(team_aggregates(features)), official, proxy_winners(features))
     rows = rows.join(totals, "match_id", "left").join(match_meta(stats), "match_id", "left")
-    rows = with_momentum(rows)
+    # Momentum reads the labelled rows three times.
+    rows = with_momentum(stage_table(rows, "labelled_matches"))
     columns = MATCH_COLUMNS
     if profiles is not None:
         rows, columns = with_profiles(rows, profiles), MATCH_COLUMNS + PROFILE_COLUMNS

@@ -1,4 +1,4 @@
-"""Chunked timelines against plain windows, with a key that holds most rows, gaps and undated rows."""
+"""Chunked timelines against plain windows, with a key that holds most rows, gaps and undated rows, whole and in chunks."""
 
 import random
 
@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from creaseline.operators import windows
 from creaseline.operators.quantiles import exact_medians
 from creaseline.operators.windows import (
     conditional_prior,
-    date_id_chunk,
     global_row_number,
     last_per_key,
     prior_cumulative,
@@ -29,6 +29,12 @@ def rows(spark):
     return df.withColumn("date", F.to_date("d")).drop("d").repartition(5)
 
 
+@pytest.fixture(autouse=True, params=[200_000, 40, 6])
+def depth_of_chunks(request, monkeypatch):
+    monkeypatch.setattr(windows, "ROWS_PER_CHUNK", request.param)
+    monkeypatch.setattr(windows, "SAMPLES_PER_CHUNK", 16)
+
+
 def order():
     return [F.col("date").asc_nulls_last(), F.col("match_id")]
 
@@ -74,7 +80,7 @@ def test_prior_cumulative(rows):
 
 def test_global_row_number(rows):
     plain = rows.withColumn("rn", F.row_number().over(Window.orderBy(*order())).cast("long"))
-    same(global_row_number(rows, ["date", "match_id"], date_id_chunk(rows, "date", "match_id")), plain)
+    same(global_row_number(rows, ["date", "match_id"]), plain)
 
 
 def test_last_per_key_takes_last_known_value(rows):
@@ -103,3 +109,10 @@ def test_partition_count_does_not_matter(spark, rows):
     one = prior_rolling(rows.coalesce(1), ["k"], ["date", "match_id"], {"m": ("avg", "x")})
     many = prior_rolling(rows.repartition(17), ["k"], ["date", "match_id"], {"m": ("avg", "x")})
     same(one, many)
+
+
+def test_empty_tables(spark, rows):
+    none = rows.where("false")
+    assert prior_rolling(none, ["k"], ["date", "match_id"], {"m": ("avg", "x")}).count() == 0
+    assert global_row_number(none, ["date", "match_id"]).count() == 0
+    assert exact_medians(none, ["x"]).count() == 0
