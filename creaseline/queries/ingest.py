@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from creaseline.queries import views
+from creaseline.queries.core import FEATURE_DOUBLES
 from creaseline.queries.registry import query, r, rounded
 from creaseline.schemas import DELIVERIES
 from creaseline.session import ensure_checkpoint_dir
 from creaseline.sources import deliveries as src
-from creaseline.streaming import drops
+from creaseline.streaming import drops, timelines
 
 _BALLS = "SELECT DISTINCT match_id, innings, over, ball_in_over, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries"
 
@@ -63,39 +64,63 @@ def _(spark, sf):
         "match_id AS original", "CASE WHEN match_id % 3 = 0 THEN CAST(match_id AS STRING) ELSE concat('ipl-', match_id) END AS match_id",
         "concat('folder', match_id % 7, '/m', match_id) AS path", "CAST(ball_in_over AS BIGINT) AS line",
     )
-    numbered = src.number_match_ids(rows, prefix_length=10)
+    numbered = src.number_match_ids(rows)
     return numbered.select(F.col("original").alias("match_id"), F.col("match_id").alias("number")).distinct()
 
 
 @query("k01_k02_stream_unique_balls", _BALLS)
 def _(spark, sf):
-    """Delivery files in no date order, a part of them twice, through the deduplicating stream in several batches."""
+    """Delivery files in no date order, a part of the balls twice in one file and again in later files, in several batches."""
     drop, table = _folder(spark, "drop"), _folder(spark, "table")
-    balls = _typed(spark, sf)
-    balls.unionByName(balls.where("match_id % 3 = 0")).repartition(10, F.xxhash64("match_id", "over")).write.parquet(drop)
+    balls, again = _typed(spark, sf), _typed(spark, sf).where("match_id % 3 = 0")
+    balls.unionByName(again).repartition(6, F.xxhash64("match_id", "over")).write.parquet(drop)
+    again.repartition(2, F.xxhash64("over", "batter")).write.mode("append").parquet(drop)
     drops.append_deliveries(drops.read_drops(spark, drop, files_per_batch=2), table, _folder(spark, "ckpt")).awaitTermination()
-    back = spark.read.schema(DELIVERIES).option("recursiveFileLookup", "true").parquet(table)
-    return back.select(*src.BALL_KEY)
+    return drops.ball_log(spark, table).read().select(*src.BALL_KEY)
 
 
 @query(
     "k03_stream_innings_totals",
-    "SELECT match_id, innings, sum(conceded) AS runs, CAST(sum((dismissal_kind <> '')::INT) AS BIGINT) AS wickets, count(*) AS balls FROM ind GROUP BY match_id, innings",
+    """SELECT match_id, innings, sum(runs_off_bat + extras) AS runs, CAST(sum(wicket) AS BIGINT) AS wickets, count(*) AS balls FROM (
+    SELECT match_id, innings, over, ball_in_over, batter, bowler, non_striker, runs_off_bat, extras, max(CASE WHEN dismissal_kind <> '' THEN 1 ELSE 0 END) AS wicket FROM deliveries
+    GROUP BY match_id, innings, over, ball_in_over, batter, bowler, non_striker, runs_off_bat, extras) x GROUP BY match_id, innings""",
 )
 def _(spark, sf):
     """The balls of a third of the matches come twice in one file and once more in a later file, and count once."""
     drop, table = _folder(spark, "drop"), _folder(spark, "totals")
     balls, again = _typed(spark, sf), _typed(spark, sf).where("match_id % 3 = 0")
-    balls.unionByName(again).repartition(10, F.xxhash64("match_id", "over")).write.parquet(drop)
-    again.repartition(4, F.xxhash64("over", "batter")).write.mode("append").parquet(drop)
+    balls.unionByName(again).repartition(6, F.xxhash64("match_id", "over")).write.parquet(drop)
+    again.repartition(2, F.xxhash64("over", "batter")).write.mode("append").parquet(drop)
     drops.write_innings_totals(drops.read_drops(spark, drop, files_per_batch=2), table, _folder(spark, "ckpt")).awaitTermination()
     return drops.current_innings_totals(spark, table)
 
 
-@query("k04_stream_player_stats", f"SELECT match_key, player_id, role, wickets, {r('runs', 'runs_conceded')} FROM pms")
+def _late_drops(spark, sf):
+    """Three files: late matches last, and some of the balls of every fifth match in the file before their others."""
+    drop = _folder(spark, "drop")
+    d = _typed(spark, sf)
+    part = "CASE WHEN match_id % 5 = 0 AND over < 8 THEN 0 WHEN match_id % 7 = 3 THEN 2 ELSE 1 END"
+    for k in range(3):
+        d.where(f"{part} = {k}").coalesce(1).write.mode("append").parquet(drop)
+    return drops.read_drops(spark, drop, files_per_batch=1)
+
+
+@query("k04_stream_player_stats", f"SELECT match_key, player_id, role, wickets, {r('runs', 'runs_conceded')} FROM pms", of_unique_balls=True)
 def _(spark, sf):
-    drop, stats = _folder(spark, "drop"), _folder(spark, "stats")
-    _typed(spark, sf).write.parquet(drop)
-    drops.refresh_player_stats(drops.read_drops(spark, drop), drop, stats, _folder(spark, "ckpt"), buckets=8).awaitTermination()
-    rows = spark.read.parquet(stats)
+    table, stats = _folder(spark, "table"), _folder(spark, "stats")
+    drops.refresh_player_stats(_late_drops(spark, sf), table, stats, _folder(spark, "ckpt"), buckets=8).awaitTermination()
+    rows = drops.current_player_stats(spark, stats, buckets=8)
     return rounded(rows.select("match_key", "player_id", "role", "wickets", "runs", "runs_conceded"))
+
+
+@query(
+    "k04_stream_player_features",
+    f"SELECT match_id, player_id, team, runs, wickets, is_franchise_match, opponent_team, {r(*FEATURE_DOUBLES)} FROM feat",
+    of_unique_balls=True,
+)
+def _(spark, sf):
+    """Features kept up to date while matches come late and grow equal those of a full rebuild."""
+    table, root = _folder(spark, "table"), _folder(spark, "timelines")
+    rows = timelines.refresh_features(_late_drops(spark, sf), table, root, views.franchises(spark, sf), _folder(spark, "ckpt"), buckets=8)
+    rows.awaitTermination()
+    return rounded(timelines.current_features(spark, root, buckets=8))

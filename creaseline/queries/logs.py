@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from creaseline.plans import evaluation, predlog, stats
 from creaseline.queries import views
 from creaseline.queries.oracle import CTES
 from creaseline.queries.registry import query, r, rounded
+from creaseline.session import ensure_checkpoint_dir
 from creaseline.sources import scorecards as cards
 
 CTES.update(
@@ -267,7 +270,8 @@ _CARD = ("runs", "balls", "fours", "sixes", "dismissed", "wickets", "balls_bowle
     "SELECT player AS player_id, team AS batting_team, 'unknown' AS bowling_team, DATE '2026-02-15' AS date, 'ICC T20 WC 2026' AS venue, 'batter' AS role, CAST(r AS DOUBLE) AS runs, CAST(b AS DOUBLE) AS balls, CAST(f4 AS DOUBLE) AS fours, CAST(f6 AS DOUBLE) AS sixes, CASE WHEN dismissal = 'not out' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS dismissed FROM cards",
 )
 def _(spark, sf):
-    rows = cards.scorecard_player_rows(views.scorecards(spark, sf), views.scorecard_aliases(spark, sf))
+    ids = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ids/{uuid.uuid4().hex}"
+    rows = cards.scorecard_player_rows(views.scorecards(spark, sf), views.scorecard_aliases(spark, sf), ids)
     return rows.select("player_id", "batting_team", "bowling_team", "date", "venue", "role", "runs", "balls", "fours", "sixes", "dismissed")
 
 

@@ -350,6 +350,11 @@ FROM mrows WHERE winner IN ('team1', 'team2') AND (team1_name = 'T3' OR team2_na
     }
 )
 
+#: The deliveries table of queries over deduplicated balls: one row per ball key, one with a dismissal if any has.
+UNIQUE_DELIVERIES = f"""SELECT * FROM ({CTES['deliveries']}) x QUALIFY row_number() OVER (
+PARTITION BY match_id, innings, over, ball_in_over, batter, bowler, non_striker, runs_off_bat, extras
+ORDER BY dismissal_kind = '', date, venue, batting_team, bowling_team, is_wide, is_noball, dismissal_kind, player_dismissed, competition) = 1"""
+
 _WORD = re.compile(r"[a-z_0-9]+")
 
 
@@ -357,21 +362,22 @@ def _needs(sql: str) -> list[str]:
     return [w for w in dict.fromkeys(_WORD.findall(sql)) if w in CTES]
 
 
-def with_tables(sql: str) -> str:
+def with_tables(sql: str, unique_balls: bool = False) -> str:
     """Prefix ``sql`` with every shared table expression it reaches, in dependency order."""
     placed: list[str] = []
+    tables = {**CTES, "deliveries": UNIQUE_DELIVERIES} if unique_balls else CTES
 
     def place(name: str, body: str) -> None:
         for other in _needs(body):
             if other != name and other not in placed:
-                place(other, CTES[other])
+                place(other, tables[other])
         if name and name not in placed:
             placed.append(name)
 
     place("", sql)
     if not placed:
         return sql
-    parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in placed)
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({tables[n].strip()})" for n in placed)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {parts},\n{body[5:]}"

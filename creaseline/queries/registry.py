@@ -16,9 +16,15 @@ ORACLES: dict[str, str] = {}
 NUDGE = 1e-9
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+#: Queries whose SQL reads deduplicated balls.
+UNIQUE_BALLS: set[str] = set()
+
+
+def query(name: str, sql: str | None = None, of_unique_balls: bool = False) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
+        if of_unique_balls:
+            UNIQUE_BALLS.add(name)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -46,4 +52,4 @@ def r(*columns: str, digits: int = 6) -> str:
 
 def oracles() -> dict[str, str]:
     """Complete SQL of every checked query."""
-    return {name: with_tables(sql) for name, sql in ORACLES.items()}
+    return {name: with_tables(sql, name in UNIQUE_BALLS) for name, sql in ORACLES.items()}

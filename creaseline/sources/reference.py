@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from creaseline import schemas
 from creaseline.functions.cricket import resolved_batting_first
 from creaseline.functions.text import clean_text
+from creaseline.operators.buckets import path_exists
 
 TABLES = {
     "squads": schemas.SQUADS, "fixtures": schemas.FIXTURES, "aliases": schemas.ALIASES, "registry": schemas.REGISTRY,
@@ -20,12 +21,6 @@ TABLES = {
 }
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_reference(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A reference CSV by column name: texts trimmed, numbers coerced, absent columns null.
 

@@ -7,29 +7,34 @@ from pyspark.sql import functions as F
 
 from creaseline.functions.cricket import bowler_of_dismissal, dismissal_kind_of, dismissed_flag
 from creaseline.functions.text import number_or_zero
+from creaseline.operators.surrogates import surrogate_numbers
 from creaseline.plans.identity import resolve_display_names
 from creaseline.plans.stats import match_key
 from creaseline.schemas import PLAYER_MATCH
 
-SCORECARD_STATS_BASE, SCORECARD_STATS_SPAN = 920_000_000, 9_000_000
+SCORECARD_STATS_BASE = 920_000_000
 SCORECARD_MATCH_BASE = 900_000_000
 
 
-def scorecard_stat_id(match: Column, innings: Column, team: Column) -> Column:
-    return F.pmod(F.xxhash64(match, innings, team), F.lit(SCORECARD_STATS_SPAN)) + SCORECARD_STATS_BASE
+def scorecard_innings_key() -> Column:
+    """Natural key of a scorecard innings: match, innings and team as one text."""
+    return F.to_json(F.array(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("match", "innings", "team")]))
 
 
 def scorecard_player_rows(
-    cards: DataFrame, aliases: DataFrame, date: str = "2026-02-15", venue: str = "ICC T20 WC 2026"
+    cards: DataFrame, aliases: DataFrame, ids: str, load: int = 0, date: str = "2026-02-15", venue: str = "ICC T20 WC 2026"
 ) -> DataFrame:
-    """One batting row per scorecard line with a player; nothing is known about bowling."""
-    lines = cards.where(F.trim(F.coalesce("player", F.lit(""))) != "")
-    named = resolve_display_names(lines, "player", aliases)
+    """One batting row per scorecard line with a player; nothing is known about bowling.
+
+    An innings gets a number of its own from the dictionary below ``ids``, which later loads (a higher ``load``) keep.
+    """
+    lines = cards.where(F.trim(F.coalesce("player", F.lit(""))) != "").withColumn("natural", scorecard_innings_key())
+    numbers = surrogate_numbers(lines.select("natural"), ids, SCORECARD_STATS_BASE, load)
+    named = resolve_display_names(lines.join(numbers, "natural"), "player", aliases)
     zero = F.lit(0.0)
-    mid = scorecard_stat_id(F.trim("match"), F.trim(F.col("innings").cast("string")), F.trim("team"))
     day = F.lit(date).cast("date")
     rows = named.select(
-        mid.alias("match_id"), "player_id", day.alias("date"), F.lit(venue).alias("venue"),
+        F.col("number").alias("match_id"), "player_id", day.alias("date"), F.lit(venue).alias("venue"),
         F.trim("team").alias("batting_team"), F.lit("unknown").alias("bowling_team"),
         *[number_or_zero(c).alias(c) for c in ("runs", "balls", "fours", "sixes")],
         dismissed_flag(F.col("dismissal")).alias("dismissed"),
