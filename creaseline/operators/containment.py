@@ -52,10 +52,12 @@ def loose_name_pairs(asked: DataFrame, known: DataFrame, name: str = "asked", ot
     return inside.unionByName(around).distinct().withColumn("exact", F.col(name) == F.col(other))
 
 
-def venue_query_pairs(queries: DataFrame, venues: DataFrame, query: str, venue: str) -> DataFrame:
-    """(query, venue) pairs where the venue holds the whole query or any of its words of four letters or more.
+def venue_token_hits(queries: DataFrame, venues: DataFrame, query: str, venue: str) -> tuple[DataFrame, DataFrame]:
+    """((query, _token), (_token, venue)): what a query is asked for by, and the venues that hold each token.
 
-    Both columns are compared in lower case; the result keeps the original spellings.
+    A query's tokens are its whole text and its words of four letters or more.  Texts are compared in lower case and
+    keep their spellings.  Both tables are inverted lists of distinct texts; a word that many queries share ("stadium")
+    meets the venues once.
     """
     q = queries.select(F.col(query).alias("_q0"), F.lower(F.trim(query)).alias("_q")).where(F.col("_q") != "").distinct()
     v = venues.select(F.col(venue).alias("_v0"), F.lower(F.trim(venue)).alias("_v")).where(F.col("_v").isNotNull()).distinct()
@@ -63,13 +65,14 @@ def venue_query_pairs(queries: DataFrame, venues: DataFrame, query: str, venue:
         "_q0",
         F.explode(F.array_union(F.array("_q"), F.regexp_extract_all("_q", F.lit("[a-z]{4,}"), F.lit(0)))).alias("_token"),
     )
-    hits = containing_pairs(tokens, v, "_token", "_v")
-    return (
-        tokens.join(hits, "_token")
-        .join(v, "_v")
-        .select(F.col("_q0").alias(query), F.col("_v0").alias(venue))
-        .distinct()
-    )
+    hits = containing_pairs(tokens, v, "_token", "_v").join(v, "_v")
+    return tokens.select(F.col("_q0").alias(query), "_token"), hits.select("_token", F.col("_v0").alias(venue))
+
+
+def venue_query_pairs(queries: DataFrame, venues: DataFrame, query: str, venue: str) -> DataFrame:
+    """(query, venue) pairs where the venue holds the whole query or any of its words of four letters or more."""
+    tokens, hits = venue_token_hits(queries, venues, query, venue)
+    return tokens.join(hits, "_token").select(query, venue).distinct()
 
 
 def best_loose_match(asked: DataFrame, known: DataFrame, name: str = "asked", other: str = "known") -> DataFrame:

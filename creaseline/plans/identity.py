@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.functions.text import lookup_key, name_signature, normal_name, similarity
+from creaseline.operators.similar_names import similar_pairs
 from creaseline.operators.windows import keep_one
 
 SQUAD_SIMILARITY = 85.0
@@ -173,7 +174,8 @@ def resolve_registry(
 ) -> DataFrame:
     """Stats id, method and score of each distinct name.
 
-    Order: exact id, exact alias, normalised id, similar id, similar alias, the name itself (score 50).
+    Order: exact id, exact alias, normalised id, similar id, similar alias, the name itself (score 50).  Similar names
+    are found inside (initial, last name) blocks by an exact edit-distance join, whose work follows the matches.
     """
     asked = names.select(F.trim(name).alias("name")).where(F.col("name") != "").distinct()
     asked = asked.withColumns({"_norm": normal_name("name"), "_sig": name_signature(normal_name("name"))})
@@ -189,23 +191,19 @@ def resolve_registry(
         [F.desc("_prio"), F.asc("_alias_id")],
     ).drop("_prio")
 
-    def best_similar(candidates: DataFrame, key: str, target: str, out: str) -> DataFrame:
-        block = candidates.withColumn("_sig", name_signature(key)).where(F.col("_sig").isNotNull())
-        scored = asked.join(block.withColumnRenamed(key, "_other"), "_sig").withColumn(
-            "_score", similarity("_norm", "_other")
-        )
-        return (
-            scored.where(F.col("_score") >= threshold)
-            .groupBy("name")
-            .agg(F.max_by(F.struct(F.col(target).alias("id"), F.col("_score").alias("score")), F.struct("_score", target)).alias(out))
-        )
+    def best_similar(candidates: DataFrame, target: str, out: str) -> DataFrame:
+        block = candidates.select("_norm", target, name_signature("_norm").alias("_sig")).where(F.col("_sig").isNotNull())
+        close = similar_pairs(asked.select("_sig", "_norm"), block.withColumnRenamed("_norm", "_other"), ["_sig"], "_norm", "_other", threshold)
+        named = close.join(block.select(F.col("_norm").alias("_other"), target), "_other")
+        best = F.max_by(F.struct(F.col(target).alias("id"), F.col("score")), F.struct("score", target))
+        return named.groupBy("_norm").agg(best.alias(out))
 
     joined = (
         asked.join(ids.select(F.col("_id").alias("name"), F.lit(True).alias("_exact")), "name", "left")
         .join(alias_norm, "_norm", "left")
         .join(by_norm, "_norm", "left")
-        .join(best_similar(by_norm, "_norm", "_norm_id", "_sim_id"), "name", "left")
-        .join(best_similar(alias_norm, "_norm", "_alias_id", "_sim_alias"), "name", "left")
+        .join(best_similar(by_norm, "_norm_id", "_sim_id"), "_norm", "left")
+        .join(best_similar(alias_norm, "_alias_id", "_sim_alias"), "_norm", "left")
     )
     steps = [
         (F.coalesce(F.col("_exact"), F.lit(False)), F.col("name"), "exact_registry", F.lit(100.0)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from creaseline.functions.cricket import impact_score, potm_score
 from creaseline.functions.pitch import MULTIPLIERS, style_wicket_multiplier
 from creaseline.functions.text import clip, squeeze
-from creaseline.operators.containment import best_loose_match, loose_name_pairs, venue_query_pairs
+from creaseline.operators.containment import best_loose_match, loose_name_pairs, venue_token_hits
 from creaseline.operators.windows import top_per_key
 from creaseline.plans.features import strength_by_role
 from creaseline.plans.form import UNKNOWN_CONFIDENCE
@@ -133,16 +133,17 @@ def missing_history(players: DataFrame, history: DataFrame) -> DataFrame:
 def latest_at_venue(players: DataFrame, history: DataFrame, columns: list[str]) -> DataFrame:
     """Newest history row of each player, preferring rows at a ground that matches the fixture's venue.
 
-    History shrinks to the newest row per (player, venue) before any join, and venues are matched as
-    distinct texts, so the join never meets a player's whole history.
+    History shrinks to the newest row per (player, venue) before any join, and then to the newest row per player and
+    token of the asked venues, so no join meets a player's whole history or pairs asked venues with played ones.
     """
     packed = F.struct("date", "match_id", "venue", *columns)
     newest = history.groupBy("player_id", F.col("venue").alias("_hist_venue")).agg(F.max(packed).alias("_row"))
     newest = stage_table(newest, "newest_at_venue")
     overall = newest.groupBy("player_id").agg(F.max("_row").alias("_any"))
-    pairs = venue_query_pairs(players.select("venue"), newest.select("_hist_venue"), "venue", "_hist_venue")
+    tokens, hits = venue_token_hits(players.select("venue"), newest.select("_hist_venue"), "venue", "_hist_venue")
+    by_token = newest.join(hits, "_hist_venue").groupBy("player_id", "_token").agg(F.max("_row").alias("_row"))
     at = (
-        players.select("fixture_id", "side", "player_id", "venue").join(pairs, "venue").join(newest, ["player_id", "_hist_venue"])
+        players.select("fixture_id", "side", "player_id", "venue").join(tokens, "venue").join(by_token, ["player_id", "_token"])
         .groupBy("fixture_id", "side", "player_id").agg(F.max("_row").alias("_at"))
     )
     joined = players.join(overall, "player_id").join(at, ["fixture_id", "side", "player_id"], "left")

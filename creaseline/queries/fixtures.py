@@ -60,8 +60,8 @@ SELECT match_id AS fixture_id, CASE WHEN batting_team = concat('T', CAST(match_i
        form_runs * 0.5 + xi_place AS std_runs, form_wickets * 0.5 + 0.1 AS std_wickets,
        (xi_place % 5 + 1) / 5.0 AS playing_prob, (xi_place % 10 + 1) / 10.0 AS data_confidence,
        CASE xi_place % 3 WHEN 0 THEN 'spin' WHEN 1 THEN 'pace' ELSE 'unknown' END AS bowling_style
-FROM (SELECT *, row_number() OVER (PARTITION BY match_id, batting_team ORDER BY player_id) AS xi_place FROM feat) x
-WHERE xi_place <= CASE WHEN match_id % 2 = 1 THEN 12 ELSE 11 END""",
+FROM (SELECT *, row_number() OVER (PARTITION BY match_id, batting_team ORDER BY player_id) AS xi_place FROM feat) x""",
+        "rosters": "SELECT fixture_id, side, CAST(count(*) AS INTEGER) AS n FROM fp GROUP BY fixture_id, side",
         "shrunk": """
 SELECT * EXCLUDE (p_runs, p_wk), data_confidence * p_runs + (1 - data_confidence) * 0.45 * avg(p_runs) OVER s AS pred_runs_raw,
        data_confidence * p_wk + (1 - data_confidence) * 0.45 * avg(p_wk) OVER s AS pred_wk_raw
@@ -369,7 +369,7 @@ def _(spark, sf):
 
 
 def _fixture_lists(spark, sf):
-    """Fixtures with both elevens as arrays, gathered from at most twelve places per side."""
+    """Fixtures with both rosters as arrays, gathered from the players of each side."""
     players = views.fixture_players(spark, sf)
 
     def listed(s):
@@ -387,7 +387,8 @@ def _(spark, sf):
 
 @query(
     "b31_eleven_problems",
-    "SELECT fixture_id, side, CASE WHEN fixture_id % 10 = 3 THEN 'duplicate player' ELSE 'too few players' END AS problem FROM (SELECT DISTINCT fixture_id, side FROM fp WHERE (fixture_id % 10 = 3) OR (fixture_id % 10 = 4 AND side = 2)) x",
+    """SELECT fixture_id, side, CASE WHEN k > 12 THEN 'too many players' WHEN k < 11 THEN 'too few players' ELSE 'duplicate player' END AS problem FROM (
+    SELECT *, CASE WHEN fixture_id % 10 = 3 THEN least(n, 10) + 1 WHEN fixture_id % 10 = 4 AND side = 2 THEN least(n, 9) ELSE n END AS k FROM rosters) x WHERE k NOT IN (11, 12) OR fixture_id % 10 = 3""",
 )
 def _(spark, sf):
     rows = _fixture_lists(spark, sf)
@@ -403,12 +404,12 @@ def _(spark, sf):
 
 @query(
     "j17_impact_substitutes",
-    """SELECT f.fixture_id, CAST(CASE WHEN f.fixture_id % 4 = 0 THEN 12 ELSE 11 END AS INTEGER) AS n1, CAST(11 AS INTEGER) AS n2, f.fixture_id % 4 = 2 AS rejected FROM fix0 f""",
+    """SELECT fixture_id, CAST(CASE WHEN fixture_id % 4 = 0 AND c1 = 11 THEN 12 ELSE c1 END AS INTEGER) AS n1, c2 AS n2, fixture_id % 4 = 2 OR (fixture_id % 4 = 0 AND c1 <> 11) AS rejected
+    FROM (SELECT f.fixture_id, a.n AS c1, b.n AS c2 FROM fix0 f JOIN rosters a ON a.fixture_id = f.fixture_id AND a.side = 1 JOIN rosters b ON b.fixture_id = f.fixture_id AND b.side = 2) x""",
 )
 def _(spark, sf):
     four = F.col("fixture_id") % 4
-    rows = _fixture_lists(spark, sf).withColumns({"xi1": F.slice("xi1", 1, 11), "xi2": F.slice("xi2", 1, 11)})
-    rows = rows.withColumns(
+    rows = _fixture_lists(spark, sf).withColumns(
         {"impact1": F.when(four == 0, "Sub Player").when(four == 2, F.get("xi1", F.lit(3))), "impact2": F.lit(None).cast("string")}
     )
     good, bad = scoring.add_impact_players(rows)

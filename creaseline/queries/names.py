@@ -30,7 +30,7 @@ FROM people WHERE k % 7 <> 3 GROUP BY team, full_name""",
         "aliases": """
 SELECT DISTINCT * FROM (SELECT stats_id AS canonical_id, full_name AS alias_string, 'seed' AS source, 1 AS priority FROM people WHERE k % 4 <> 1
 UNION ALL SELECT concat(stats_id, ' jr'), full_name, 'seed', 5 FROM people WHERE k % 8 = 2) x""",
-        "reg": "SELECT stats_id AS canonical_id FROM people WHERE k % 3 = 0 UNION SELECT full_name FROM people WHERE k % 5 = 1",
+        "reg": "SELECT stats_id AS canonical_id FROM people UNION SELECT full_name FROM people WHERE k % 5 = 1",
         "alias_look": """
 SELECT lower(trim(alias_string)) AS alias_key, canonical_id FROM aliases
 QUALIFY row_number() OVER (PARTITION BY lower(trim(alias_string)) ORDER BY priority DESC, alias_string, canonical_id) = 1""",
@@ -151,8 +151,8 @@ _LONG_TEAMS = "concat(full_name, ' ', team)"
 
 @query(
     "c14_loose_containment",
-    """WITH asked AS (SELECT DISTINCT lower(full_name) AS asked FROM people WHERE k % 3 = 0 UNION SELECT DISTINCT lower(team) FROM people UNION SELECT DISTINCT lower(concat(full_name, ' ', team, ' xi')) FROM people WHERE k % 11 = 0),
-    known AS (SELECT DISTINCT lower(concat(full_name, ' ', team)) AS known FROM people WHERE k % 2 = 0 UNION SELECT DISTINCT lower(full_name) FROM people WHERE k % 5 = 0)
+    """WITH asked AS (SELECT DISTINCT lower(full_name) AS asked FROM people UNION SELECT DISTINCT lower(team) FROM people UNION SELECT DISTINCT lower(concat(full_name, ' ', team, ' xi')) FROM people),
+    known AS (SELECT DISTINCT lower(concat(full_name, ' ', team)) AS known FROM people UNION SELECT DISTINCT lower(full_name) FROM people)
     SELECT asked, known FROM asked, known WHERE contains(known, asked) OR contains(asked, known)
     QUALIFY row_number() OVER (PARTITION BY asked ORDER BY (asked = known) DESC, length(known) DESC, known DESC) = 1""",
 )
@@ -160,13 +160,11 @@ def _(spark, sf):
     p = views.people(spark, sf)
     full = F.lower("full_name")
     asked = (
-        p.where("k % 3 = 0").select(full.alias("asked"))
+        p.select(full.alias("asked"))
         .unionByName(p.select(F.lower("team").alias("asked")))
-        .unionByName(p.where("k % 11 = 0").select(F.lower(F.concat_ws(" ", "full_name", "team", F.lit("xi"))).alias("asked")))
+        .unionByName(p.select(F.lower(F.concat_ws(" ", "full_name", "team", F.lit("xi"))).alias("asked")))
     )
-    known = p.where("k % 2 = 0").select(F.lower(F.concat_ws(" ", "full_name", "team")).alias("known")).unionByName(
-        p.where("k % 5 = 0").select(full.alias("known"))
-    )
+    known = p.select(F.lower(F.concat_ws(" ", "full_name", "team")).alias("known")).unionByName(p.select(full.alias("known")))
     return best_loose_match(asked, known)
 
 

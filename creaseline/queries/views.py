@@ -275,7 +275,7 @@ def scored_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eleven or twelve players per side with raw predictions read off their pre-match form."""
+    """The whole roster of each side with raw predictions read off the players' pre-match form."""
     from pyspark.sql import Window
 
     from creaseline.functions.franchise import role_code
@@ -284,7 +284,6 @@ def fixture_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = player_features(spark, sf_dir).select("match_id", "player_id", "form_runs", "form_wickets", "form_runs_ipl", "form_wickets_ipl", "strike_rate", "economy")
     place = F.row_number().over(Window.partitionBy("match_id", "batting_team").orderBy("player_id"))
     rows = stats_rows.join(feats, ["match_id", "player_id"]).withColumn("xi_place", place)
-    rows = rows.where(F.col("xi_place") <= F.when(F.col("match_id") % 2 == 1, 12).otherwise(11))
     first = F.concat(F.lit("T"), (F.col("match_id") % 10).cast("string"))
     return rows.select(
         F.col("match_id").alias("fixture_id"), F.when(F.col("batting_team") == first, 1).otherwise(2).alias("side"), "player_id",
