@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.functions.text import lookup_key, name_signature, normal_name, similarity
+from creaseline.operators.distinct import folded_names
 from creaseline.operators.similar_names import similar_pairs
 from creaseline.operators.windows import keep_one
 
@@ -178,12 +179,14 @@ def resolve_registry(
     are found inside (initial, last name) blocks by an exact edit-distance join, whose work follows the matches.
     """
     asked = names.select(F.trim(name).alias("name")).where(F.col("name") != "").distinct()
-    asked = asked.withColumns({"_norm": normal_name("name"), "_sig": name_signature(normal_name("name"))})
+    asked = folded_names(asked, "name", "_form").withColumn("_norm", normal_name("_form")).drop("_form")
+    asked = asked.withColumn("_sig", name_signature("_norm"))
     ids = registry.select(F.trim("canonical_id").alias("_id")).where(F.col("_id") != "").distinct()
-    by_norm = keep_one(ids.select(normal_name("_id").alias("_norm"), F.col("_id").alias("_norm_id")), ["_norm"], [F.asc("_norm_id")])
+    formed = folded_names(ids, "_id", "_form").select(normal_name("_form").alias("_norm"), F.col("_id").alias("_norm_id"))
+    by_norm = keep_one(formed, ["_norm"], [F.asc("_norm_id")])
     alias_norm = keep_one(
-        aliases.select(
-            normal_name("alias_string").alias("_norm"),
+        folded_names(aliases, "alias_string", "_form").select(
+            normal_name("_form").alias("_norm"),
             F.trim("canonical_id").alias("_alias_id"),
             F.coalesce(F.col("priority").try_cast("int"), F.lit(0)).alias("_prio"),
         ).where((F.col("_norm") != "") & (F.col("_alias_id") != "")),

@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from creaseline.queries import core, fixtures, ingest, logs, models, names, scalars, tables  # noqa: F401
+from creaseline.queries import core, files, fixtures, ingest, logs, models, names, scalars, tables  # noqa: F401
 from creaseline.queries.registry import QUERIES, oracles
 
 __all__ = ["QUERIES", "oracles"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from creaseline.functions import text
 from creaseline.operators.containment import best_loose_match, venue_query_pairs
+from creaseline.operators.distinct import folded_names
 from creaseline.plans import identity
 from creaseline.queries import views
 from creaseline.queries.oracle import CTES
@@ -146,6 +147,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "h01_folded_names",
+    """SELECT DISTINCT lower(concat(full_name, ' ', list_extract(['fin', '1', 'iv', 'x2', 'ka'], CAST(k % 5 + 1 AS INTEGER)))) AS norm, team FROM people""",
+)
+def _(spark, sf):
+    """Names in full-width letters, ligatures, circled and superscript digits, Roman numerals and half-width kana fold to plain keys."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    plain = "".join(chr(0x21 + i) for i in range(94))
+    odd = views.people(spark, sf).select(
+        "team", F.concat_ws("\u3000", F.translate("full_name", plain, wide), F.element_at(F.array(*[F.lit(x) for x in ("\ufb01n", "\u2460", "\u2163", "x\u00b2", "\uff4b\u1d43")]), (F.col("k") % 5 + 1).cast("int"))).alias("name")
+    )
+    return folded_names(odd, "name", "folded").select(text.normal_name("folded").alias("norm"), "team").distinct()
+
+
 _LONG_TEAMS = "concat(full_name, ' ', team)"
 
 
