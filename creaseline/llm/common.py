@@ -21,6 +21,18 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 SLICE_CHARS = 2_000_000
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts pass between the JVM and Python in batches of BATCH_ROWS rows.
+
+    Spark's default of 10,000 rows takes tens of MB for each running task, outside the heap and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -59,15 +71,15 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def row_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
-    """(first row, rows, texts) of a batch, so many rows that their texts hold about SLICE_CHARS characters."""
+def row_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, rows, texts) of a batch, so many rows that their texts hold about `limit` characters."""
     values = batch.column(batch.schema.get_field_index(column))
     start, chars, texts = 0, 0, []
     for i in range(batch.num_rows):
         text = values[i].as_py()
         texts.append(text)
         chars += len(text) if text else 0
-        if chars >= SLICE_CHARS:
+        if chars >= limit:
             yield start, len(texts), texts
             start, chars, texts = i + 1, 0, []
     if texts:
@@ -79,10 +91,12 @@ def map_texts(
     function: Callable[[list[str | None]], dict[str, list]],
     fields: dict[str, T.DataType],
     drop: tuple[str, ...] = ("text",),
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Add columns that a function computes from lists of texts, in the rows' own partitions.
 
-    Columns of `df` named in `drop` or `fields` are replaced or dropped; the others pass through unchanged.
+    Columns of `df` named in `drop` or `fields` are replaced or dropped; the others pass through unchanged.  `after`
+    runs at the end of each task, to free what the function keeps between slices: workers outlive their tasks.
     """
     kept = [f for f in df.schema.fields if f.name not in fields and f.name not in drop]
     names = [f.name for f in kept]
@@ -99,6 +113,8 @@ def map_texts(
                 columns = [part.column(part.schema.get_field_index(n)).cast(arrow.field(n).type) for n in names]
                 columns += [pa.array(made[n], type=arrow.field(n).type) for n in fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        if after is not None:
+            after()
 
     return df.select(*[F.col(f"`{n}`") for n in names], *([] if "text" in names else ["text"])).mapInArrow(run, schema)
 

@@ -11,6 +11,8 @@ from creaseline.llm.common import cut, row_slices, small, written
 
 #: Words of a shingle (the tokens of a line), percent of similarity, and words that a compared line has at least.
 WIDTH, PERCENT, MIN_WORDS = 5, 80, 1
+#: Characters whose words and shingles a task holds at a time, in about ten numbers each.
+SLICE = 250_000
 #: Positions of the table of token frequencies: bounded, whatever the number of tokens.
 BUCKETS = 1 << 16
 _POWER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(64)], dtype=np.uint64)
@@ -75,14 +77,16 @@ def line_tokens(texts: list[str | None], width: int, min_words: int = 3) -> tupl
     per_text = np.array([t.count("\n") + 1 for t in own], dtype=np.int64)
     stops = np.flatnonzero(data == 10)
     starts, hashed = hashed_words(data)
-    line_of = np.searchsorted(stops, starts)
-    counts = np.bincount(line_of, minlength=len(stops))
+    counts = np.diff(np.searchsorted(starts, stops), prepend=0)
     keep = counts >= max(1, min_words)
-    hashed = hashed[keep[line_of]]
+    hashed = hashed[np.repeat(keep, counts)]
     text_of = np.repeat(np.arange(len(own)), per_text)
     number = np.arange(len(stops)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = points[stops] - points[np.concatenate([[0], stops[:-1] + 1])]
+    lengths = np.diff(stops, prepend=-1) - 1
+    if len(data) > sum(map(len, own)) + len(own):  # bytes that continue a character do not count
+        points = np.cumsum((data & 0xC0) == 0x80, dtype=np.int64)
+        lengths = lengths - np.diff(points[stops], prepend=0)
+    chars = lengths
     owner, number, chars, counts = text_of[keep], number[keep].astype(np.int32), chars[keep], counts[keep]
     line_of = np.repeat(np.arange(len(counts)), counts)
     n = max(0, len(hashed) - width + 1)
@@ -128,7 +132,7 @@ def token_frequencies(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, _, texts in row_slices(batch):
+            for _, _, texts in row_slices(batch, limit=SLICE):
                 total += np.bincount((line_tokens(texts, width, MIN_WORDS)[4] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
@@ -156,7 +160,7 @@ def line_rows(docs: DataFrame, width: int, percent: int, frequencies: np.ndarray
 
     def run(batches):
         for batch in batches:
-            for start, count, texts in row_slices(batch):
+            for start, count, texts in row_slices(batch, limit=SLICE):
                 owner, number, chars, lines, tokens = token_sets(texts, width, ranks=shared.value)
                 if not len(owner):
                     continue
@@ -226,7 +230,7 @@ def verified_lines(pairs: DataFrame, rows: DataFrame, width: int, percent: int)
 
     def run(batches):
         for batch in batches:
-            for start, count, texts in row_slices(batch):
+            for start, count, texts in row_slices(batch, limit=SLICE):
                 owner, number, _, lines, tokens = token_sets(texts, width)
                 if not len(owner):
                     continue
@@ -298,7 +302,7 @@ def line_report(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 def _line_count(text: Column) -> Column:
     """Lines between \\n; 0 for a null or empty text."""
     value = F.coalesce(text, F.lit(""))
-    return F.when(value == "", 0).otherwise(1 + F.length(value) - F.length(F.translate(value, "\n", ""))).cast("long")
+    return F.when(value == "", 0).otherwise(1 + F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))).cast("long")
 
 
 def without_repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
