@@ -204,6 +204,10 @@ class Memo:
         get = known.__getitem__
         return [list(map(get, chunks)) for chunks in split]
 
+    def forget(self) -> None:
+        """Free the results; the encoder itself stays open."""
+        self.known = {}
+
 
 _OPEN: dict = {}
 

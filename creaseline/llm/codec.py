@@ -24,7 +24,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep_text: bool = False) -> Da
         return {"n_tokens": list(map(len, ids)), "token_ids": ids}
 
     fields = {"n_tokens": T.LongType(), "token_ids": T.ArrayType(T.IntegerType())}
-    return map_texts(docs, encode, fields, drop=() if keep_text else ("text",))
+    return map_texts(docs, encode, fields, drop=() if keep_text else ("text",), after=lambda: word_ids(tokenizer).forget())
 
 
 def decode_ids(rows: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
