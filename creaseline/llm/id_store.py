@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,10 @@ def _library(path: str) -> tuple[Memo, str]:
         special = [t.content for t in library.get_added_tokens_decoder().values() if t.special]
         width = np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32
 
+        kind = "H" if width is np.uint16 else "I"
+
         def compute(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=width).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [array(kind, e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
         def chunks_of(text: str) -> list[str]:
             cuts = [text]
