@@ -18,7 +18,8 @@ HEADLINE = (
     "e06_pair_history", "c06_matchup_rates", "d12_b11_innings_table", "d19_innings_totals", "d21_column_medians",
     "e10_i02_player_training_rows", "e12_recency_weighted_form", "e19_player_time_split", "c09_label_resolution",
     "e11_franchise_momentum", "c11_momentum_as_of", "f08_actual_top_batters", "g02_dedupe_deliveries",
-    "c18_squad_resolution", "j13_monte_carlo", "d23_headline_stats",
+    "c18_squad_resolution", "c19_registry_resolution", "c12_venue_preferred_row", "k03_stream_innings_totals",
+    "d23_headline_stats",
 )
 
 

@@ -296,7 +296,9 @@ def _(spark, sf):
 
 @query(
     "g02_dedupe_without_innings",
-    "SELECT match_id, count(*) AS n FROM (SELECT DISTINCT match_id, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries) x GROUP BY match_id",
+    """WITH p AS (SELECT DISTINCT innings, over, ball_in_over, match_id, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries WHERE over < 10),
+    b AS (SELECT match_id, batter, bowler, non_striker, runs_off_bat, extras FROM deliveries WHERE over >= 10 EXCEPT SELECT match_id, batter, bowler, non_striker, runs_off_bat, extras FROM p)
+    SELECT match_id, count(*) AS n FROM (SELECT match_id FROM p UNION ALL SELECT match_id FROM b) x GROUP BY match_id""",
 )
 def _(spark, sf):
     d = views.deliveries(spark, sf).withColumn("innings", F.when(F.col("over") < 10, F.col("innings")))

@@ -21,15 +21,16 @@ TABLES = {
 }
 
 
-def read_reference(spark: SparkSession, name: str, path: str) -> DataFrame:
+def read_reference(spark: SparkSession, name: str, path: str, line_breaks: bool = False) -> DataFrame:
     """A reference CSV by column name: texts trimmed, numbers coerced, absent columns null.
 
-    A missing optional file gives an empty table of the right shape.
+    A missing optional file gives an empty table of the right shape.  Files are split among tasks; with
+    ``line_breaks``, cells may hold line breaks in quotes, and a file is read by one task.
     """
     schema = TABLES[name]
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    raw = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    raw = spark.read.option("header", "true").option("multiLine", str(line_breaks).lower()).csv(path)
     have = {c.strip(): c for c in raw.columns}
 
     def cell(field: T.StructField):

@@ -10,7 +10,10 @@ from compare import difference, duck
 QUICK = (
     "b16_player_match_stats", "e01_prior5_form", "e02_franchise_prior5", "e06_pair_history", "d19_innings_totals",
     "d20_build_counts", "b14_b15_franchise_names", "c18_squad_resolution", "c14_loose_containment",
-    "g02_dedupe_deliveries", "h09_h11_pitch_multipliers", "d25_coarse_calibration",
+    "g02_dedupe_deliveries", "h09_h11_pitch_multipliers", "d25_coarse_calibration", "c12_venue_preferred_row",
+    "c19_registry_resolution", "b31_eleven_problems", "j17_impact_substitutes", "e11_franchise_momentum", "e19_player_time_split",
+    "d21_column_medians", "g02_dedupe_without_innings", "g02_dedupe_mixed_sources", "b04_dates_by_file", "b19_match_id_numbers",
+    "a06_a07_nested_match_files", "a09_rejected_files", "h01_folded_names", "k03_stream_innings_totals", "k04_stream_player_features",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CREASELINE_ORACLE") == "all" else QUICK
 
