@@ -3,8 +3,11 @@
 import hashlib
 import re
 
+from compare import difference, duck
+
 from creaseline.llm import infill
 from creaseline.llm.queries import QUERIES
+from creaseline.llm.sql import ORACLES
 
 UNITS = re.compile("[A-Za-z]+|[^A-Za-z]")
 
@@ -35,6 +38,11 @@ def test_whole_table(spark, sf_dir):
     assert forms == {"plain", "psm", "spm"}
 
 
+def test_equals_sql(spark, sf_dir):
+    got = QUERIES["op12_infill"](spark, sf_dir).toArrow()
+    assert difference(got, duck(sf_dir).sql(ORACLES["op12_infill"]).to_arrow_table()) is None
+
+
 def test_awkward_rows(spark):
     texts = [None, "", " ", "a", "ab<S>cd", "x <P", "S> y $1 \\2 \n\r\n\0", "\U0001f600é́   z", "word " * 60_000, "x" * 300_000, "1 2;" * 40_000, "<", "a<P a<S a<M >P>"]
     rows = [(i * 10 + k, t) for i, t in enumerate(texts) for k in range(6)] + [(None, "one two"), (7, "one two"), (7, "one two")]
