@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creaseline.llm import codec, decontaminate, lines, near_copies, quality
-from creaseline.llm.common import documents, table, written
+from creaseline.llm.common import documents, small_batches, table, written
 from creaseline.llm.queries import WORD_TOKENIZER
 from creaseline.llm.token_counts import default_tokenizer
 
@@ -16,18 +16,21 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified rule of their language rejects."""
+    small_batches(spark)
     judged = quality.quality_verdicts(docs, table(spark, sf_dir, "labels"), keep_text=True)
     return judged.where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line; n_chars follows the text."""
+    small_batches(spark)
     out = lines.without_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
+    small_batches(spark)
     gone = near_copies.document_classes(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -39,6 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text."""
+    small_batches(spark)
     return codec.encode_texts(docs, default_tokenizer(WORD_TOKENIZER))
 
 
