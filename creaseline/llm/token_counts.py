@@ -55,21 +55,15 @@ def read_cache(spark: SparkSession, cache: str, digest: str) -> DataFrame:
     return stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Rows of `docs` without text, with `n_bytes`, `n_tokens` and `over_limit`.
+def fill_cache(docs: DataFrame, tokenizer: str, cache: str) -> None:
+    """Encode the contents of `docs` that the cache folder lacks, once each, and append their counts.
 
-    `tokenizer` is the path of a word vocabulary that drops white space; `cache` is a folder in shared storage
-    (a new one if not given).  Contents are told apart by the SHA-256 of the normalised text.  Contents that the
-    cache lacks are made distinct on the map side before they move, encoded once each, and appended in one
-    committed write, so a failed run stores nothing.  A null text counts as empty; repeated rows each get their
-    count; an empty table gives an empty table and stores nothing.  Columns of `docs` with these names are replaced.
+    Contents are told apart by the SHA-256 of the normalised text.  Misses are made distinct on the map side before
+    they move, and are appended in one committed write, so a failed run stores nothing.
     """
-    spark = docs.sparkSession
-    cache = cache or shared_path(spark, "token-count-cache")
     digest = tokenizer_digest(tokenizer)
-    content = normalised(F.col("text"))
-    own = docs.select(content.alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
-    known = read_cache(spark, cache, digest).select("content_digest")
+    own = docs.select(normalised(F.col("text")).alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
+    known = read_cache(docs.sparkSession, cache, digest).select("content_digest")
     misses = own.join(known, "content_digest", "left_anti").dropDuplicates(["content_digest"])
     counted = map_texts(
         misses,
@@ -79,6 +73,21 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     counted.select("content_digest", F.lit(digest).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(
         f"{cache}/tokenizer={digest[:16]}"
     )
+
+
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """Rows of `docs` without text, with `n_bytes`, `n_tokens` and `over_limit`.
+
+    `tokenizer` is the path of a word vocabulary that drops white space; `cache` is a folder in shared storage
+    (a new one if not given), to which `fill_cache` adds what it lacks.  A null text counts as empty; repeated rows
+    each get their count; an empty table gives an empty table and stores nothing.  Columns of `docs` with these names
+    are replaced.
+    """
+    spark = docs.sparkSession
+    cache = cache or shared_path(spark, "token-count-cache")
+    fill_cache(docs, tokenizer, cache)
+    digest = tokenizer_digest(tokenizer)
+    content = normalised(F.col("text"))
     kept = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit", "content_digest")]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in kept],
