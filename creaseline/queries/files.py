@@ -20,6 +20,22 @@ _GROUPED = "count(*) AS balls, sum(runs_off_bat) AS runs, sum(extras) AS extras"
 _DATE_TEXT = "CASE match_id % 4 WHEN 0 THEN date_format(date, 'dd/MM/yyyy') WHEN 1 THEN date_format(date, 'M-d-yyyy') WHEN 2 THEN date_format(date, 'd MMM yyyy') ELSE date_format(date, 'yyyyMMdd') END"
 
 
+#: Matches whose records stand in one file, as a JSON array.
+RECORDS_PER_FILE, DOCUMENTS_PER_FILE = 500, 100
+#: Balls in a file of one kind of date texts, about.
+BALLS_PER_FILE = 500_000
+
+
+def _write_arrays(rows: DataFrame, path: str, per_file: int) -> None:
+    """Rows with a ``file`` number as JSON arrays, ``per_file`` numbers in a file; readers of single documents take arrays too.
+
+    A file for each match costs more time than the records in it.
+    """
+    columns = [c for c in rows.columns if c != "file"]
+    arrays = rows.groupBy(F.expr(f"file div {per_file}").alias("file")).agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+
+
 def _grouped(rows: DataFrame, *keys) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("balls"), F.sum("runs_off_bat").alias("runs"), F.sum("extras").alias("extras"))
 
@@ -56,7 +72,7 @@ def _(spark, sf):
     GROUP BY date, venue, competition, batting_team, bowling_team, innings, over, ball_in_over""",
 )
 def _(spark, sf):
-    """One nested document per match, in a file of its own; every ninth names three teams, which leaves no opponent."""
+    """One nested document per match, a hundred matches in a file; every ninth names three teams, which leaves no opponent."""
     root = _folder(spark, "json")
     balls = _typed(spark, sf)
     wides, noballs = F.col("is_wide").cast("double"), F.col("is_noball").cast("double")
@@ -78,8 +94,8 @@ def _(spark, sf):
     )
     teams = F.when(F.col("match_id") % 9 == 4, F.array_append("teams", F.lit("Third"))).otherwise(F.col("teams"))
     info = F.struct(F.array(F.date_add("date", 1).cast("string"), F.col("date").cast("string")).alias("dates"), "venue", teams.alias("teams"), "competition")
-    docs.select(info.alias("info"), "innings", "match_id").repartition("match_id").write.partitionBy("match_id").json(root)
-    back = src.json_deliveries(spark, [root])
+    _write_arrays(docs.select(F.col("match_id").alias("file"), info.alias("info"), "innings"), root, DOCUMENTS_PER_FILE)
+    back = src.json_deliveries(spark, [root], suffix="txt")
     return back.groupBy("date", "venue", "competition", "batting_team", "bowling_team", "innings", "over", "ball_in_over").agg(
         F.count(F.lit(1)).alias("balls"), F.sum("runs_off_bat").alias("runs"), F.sum("extras").alias("extras"), F.sum("is_wide").alias("wides"),
         F.sum("is_noball").alias("noballs"), F.count_if(F.col("dismissal_kind") != "").alias("outs"), F.min("batter").alias("first_batter"),
@@ -115,11 +131,16 @@ def _(spark, sf):
     f"SELECT match_id, date, {_GROUPED} FROM deliveries GROUP BY match_id, date",
 )
 def _(spark, sf):
-    """Four kinds of date texts, each in files of its own; days and months are told apart per file."""
+    """Four kinds of date texts, each in files of its own; days and months are told apart per file.
+
+    The balls of a match are spread over the files of its kind, so that each file has dates of all kinds of days.
+    """
     root = _folder(spark, "dates")
     d = _typed(spark, sf)
     kinds = d.select(*_FEED, F.expr(_DATE_TEXT).alias("start_date"), (F.col("match_id") % 4).alias("kind"))
-    kinds.repartition("kind").write.partitionBy("kind").option("header", "true").csv(root)
+    parts = 1 + d.count() // (4 * BALLS_PER_FILE)
+    dealt = kinds.repartition(4 * parts, "kind", F.pmod(F.xxhash64(*_FEED), F.lit(parts)))
+    dealt.write.partitionBy("kind").option("header", "true").csv(root)
     back = src.csv_deliveries(src.csv_rows(spark, [root]))
     return _grouped(back, F.col("match_id").try_cast("long").alias("match_id"), "date")
 
@@ -172,7 +193,7 @@ def _(spark, sf):
     list(player_id ORDER BY xi_place) FILTER (side = 1) AS xi1, list(player_id ORDER BY xi_place) FILTER (side = 2) AS xi2 FROM fp GROUP BY fixture_id) x""",
 )
 def _(spark, sf):
-    """One payload file per fixture: elevens as a list or a comma text, under either name; toss or batting side."""
+    """One payload per fixture, many in a file: elevens as a list or a comma text, under either name; toss or batting side."""
     root = _folder(spark, "payloads")
     players = views.fixture_players(spark, sf)
 
@@ -189,8 +210,8 @@ def _(spark, sf):
         "CASE WHEN fixture_id % 3 = 1 THEN 'team2' END AS batting_first",
         "CASE WHEN fixture_id % 4 = 0 THEN concat('report ', fixture_id) END AS pitch_text", "CASE WHEN fixture_id % 4 <> 0 THEN concat('report ', fixture_id) END AS pitch_report",
     )
-    payload.repartition("file").write.partitionBy("file").json(root)
-    back = reference.read_payloads(spark, root)
+    _write_arrays(payload, root, RECORDS_PER_FILE)
+    back = reference.read_payloads(spark, root, "*.txt")
     return back.select(
         "match_id", "team1_name", "team2_name", F.array_join("xi1", "|").alias("first_eleven"), F.array_join("xi2", "|").alias("second_eleven"), "batting_first", "pitch_text"
     )
@@ -202,7 +223,7 @@ def _(spark, sf):
     UNION ALL SELECT match_key, 'result', official_potm FROM plog WHERE match_id % 4 <> 3 UNION ALL SELECT match_key, 'review', concat('seen ', match_id) FROM plog WHERE match_id % 3 = 0""",
 )
 def _(spark, sf):
-    """Prediction, result and review records, one per file; four batters, or no winner, reject a prediction."""
+    """Files of prediction, result and review records, many in a file; four batters, or no winner, reject a prediction."""
     root = _folder(spark, "records")
     log = views.prediction_log(spark, sf)
     predictions = log.selectExpr(
@@ -214,12 +235,12 @@ def _(spark, sf):
     results = log.selectExpr("match_id AS file", "CASE WHEN match_id % 4 = 3 THEN ' ' ELSE match_key END AS match_key", "official_potm", "match_id * 1.5D AS actual_first_innings_team_runs")
     reviews = log.where("match_id % 3 = 0").selectExpr("match_id AS file", "match_key", "concat('seen ', match_id) AS process3_notes")
     for name, rows in (("pre", predictions), ("post", results), ("review", reviews)):
-        rows.repartition("file").write.partitionBy("file").json(f"{root}/{name}")
-    good, bad = reference.read_predictions(spark, f"{root}/pre")
+        _write_arrays(rows, f"{root}/{name}", RECORDS_PER_FILE)
+    good, bad = reference.read_predictions(spark, f"{root}/pre", "*.txt")
     none = F.lit(None).cast("string").alias("detail")
     out = good.select("match_key", F.lit("prediction").alias("kind"), none).unionByName(bad.select("match_key", F.lit("rejected").alias("kind"), none))
-    out = out.unionByName(reference.read_results(spark, f"{root}/post").select("match_key", F.lit("result").alias("kind"), F.col("official_potm").alias("detail")))
-    return out.unionByName(reference.read_reviews(spark, f"{root}/review").select("match_key", F.lit("review").alias("kind"), F.col("process3_notes").alias("detail")))
+    out = out.unionByName(reference.read_results(spark, f"{root}/post", "*.txt").select("match_key", F.lit("result").alias("kind"), F.col("official_potm").alias("detail")))
+    return out.unionByName(reference.read_reviews(spark, f"{root}/review", "*.txt").select("match_key", F.lit("review").alias("kind"), F.col("process3_notes").alias("detail")))
 
 
 @query(
