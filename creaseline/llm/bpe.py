@@ -7,6 +7,7 @@ import json
 import os
 import re
 import unicodedata
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -14,7 +15,8 @@ import numpy as np
 MEMO_WORDS = 700_000
 #: Longer words, in bytes, are merged with a heap instead of repeated scans.
 SHORT_WORD = 256
-NONE = np.int64(2**62)
+#: Rank of two parts that do not merge.
+GONE = np.int64(2**31 - 1)
 
 #: The byte alphabet of byte-level vocabularies (printable bytes stand for themselves).
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +56,8 @@ class RankArrayEncoder:
         made = np.array([vocab[a + b] for a, b in model["merges"]], dtype=np.int64)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks, self.made = pairs[order], order.astype(np.int64), made
+        #: Ranks of two adjacent bytes, inside a word and at its end.
+        self.first_ranks = [self.rank_of(self.first[:, None], right[None, :]).astype(np.int32) for right in (self.first, self.last)]
         import regex
         from tokenizers import Tokenizer
 
@@ -65,7 +69,7 @@ class RankArrayEncoder:
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.ranks[at], NONE)
+        return np.where(self.pairs[at] == key, self.ranks[at], GONE)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
@@ -81,38 +85,45 @@ class RankArrayEncoder:
         return out
 
     def _encode_block(self, words: list[bytes], rows: np.ndarray, width: int, out: list[bytes]) -> None:
+        """Parts stay where they start; a merge marks the right part as gone and links its neighbours."""
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(-1, width)
         count = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        parts = self.first[raw]
         at = np.arange(len(words))
-        parts[at, count - 1] = self.last[raw[at, count - 1]]
         column = np.arange(width)
-        ranks = np.full(parts.shape, NONE)
-        ranks[:, :-1] = self.rank_of(parts[:, :-1], parts[:, 1:])
-        ranks[column[None, :] >= count[:, None] - 1] = NONE
-        while len(rows):
-            best = ranks.argmin(axis=1)
-            at = np.arange(len(rows))
-            rank = ranks[at, best]
-            done = rank == NONE
-            if done.any():
-                for i in np.nonzero(done)[0]:
-                    out[rows[i]] = parts[i, : count[i]].astype("<u4").tobytes()
-                go = ~done
-                rows, parts, ranks, count, best, rank = (x[go] for x in (rows, parts, ranks, count, best, rank))
-                at = np.arange(len(rows))
-                if not len(rows):
-                    break
-            beyond = np.minimum(column[None, :] + (column[None, :] > best[:, None]), width - 1)
-            parts[at, best] = self.made[rank]
-            parts = np.take_along_axis(parts, beyond, axis=1)
-            ranks = np.take_along_axis(ranks, np.minimum(column[None, :] + (column[None, :] >= best[:, None]), width - 1), axis=1)
-            count -= 1
-            ranks[column[None, :] >= count[:, None] - 1] = NONE
-            right = np.minimum(best + 1, width - 1)
-            ranks[at, best] = np.where(best < count - 1, self.rank_of(parts[at, best], parts[at, right]), NONE)
-            left = np.maximum(best - 1, 0)
-            ranks[at, left] = np.where(best > 0, self.rank_of(parts[at, left], parts[at, best]), ranks[at, left])
+        parts = np.where(column[None, :] < count[:, None], self.first[raw], -1).astype(np.int32)
+        parts[at, count - 1] = self.last[raw[at, count - 1]]
+        ranks = np.full(parts.shape, GONE, dtype=np.int32)
+        ranks[:, :-1] = np.where(column[None, :-1] < count[:, None] - 1, self.first_ranks[0][raw[:, :-1], raw[:, 1:]], GONE)
+        long = at[count > 1]
+        end = count[long]
+        ranks[long, end - 2] = self.first_ranks[1][raw[long, end - 2], raw[long, end - 1]]
+        after = np.tile(np.arange(1, width + 2, dtype=np.int16), (len(words), 1))
+        before = after - np.int16(2)
+        while True:
+            left = ranks[at]
+            best = left.argmin(axis=1)
+            rank = left[np.arange(len(at)), best]
+            go = rank != GONE
+            at, best, rank = at[go], best[go], rank[go]
+            if not len(at):
+                break
+            gone = after[at, best]
+            beyond = after[at, gone]
+            merged = self.made[rank]
+            parts[at, best], parts[at, gone], ranks[at, gone] = merged, -1, GONE
+            after[at, best], before[at, beyond] = beyond, best
+            more = beyond < count[at]
+            ranks[at, best] = np.where(more, self.rank_of(merged, parts[at, np.minimum(beyond, width - 1)].astype(np.int64)), GONE)
+            prior = before[at, best]
+            inner = prior >= 0
+            ranks[at[inner], prior[inner]] = self.rank_of(parts[at[inner], prior[inner]].astype(np.int64), merged[inner])
+        alive = parts >= 0
+        ids = parts[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        start = 0
+        for row, stop in zip(rows.tolist(), ends):
+            out[row] = ids[start:stop]
+            start = stop
 
     def _encode_long(self, word: bytes) -> bytes:
         raw = np.frombuffer(word, dtype=np.uint8)
@@ -122,14 +133,14 @@ class RankArrayEncoder:
         first_ranks = self.rank_of(ids[:-1], ids[1:]).tolist()
         part = ids.tolist()
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(r, i, part[i], part[i + 1]) for i, r in enumerate(first_ranks) if r != NONE]
+        heap = [(r, i, part[i], part[i + 1]) for i, r in enumerate(first_ranks) if r != GONE]
         heapq.heapify(heap)
 
         def offer(i: int) -> None:
             j = after[i]
             if i >= 0 and j >= 0:
                 r = int(self.rank_of(np.array([part[i]]), np.array([part[j]]))[0])
-                if r != NONE:
+                if r != GONE:
                     heapq.heappush(heap, (r, i, part[i], part[j]))
 
         while heap:
@@ -185,6 +196,60 @@ class RankArrayEncoder:
         return b" ".join(map(self.tokens.__getitem__, ids))
 
 
+def _class_to(limit: int, kind: str) -> str:
+    """Characters below a limit whose Unicode category starts with `kind`, as part of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(limit)) if unicodedata.category(c)[0] == kind)
+
+
+class BytePieces:
+    """Ids of chunks (`byte_chunks`) for byte-level vocabularies with the GPT-2 split and no word suffix.
+
+    A chunk's pieces are encoded by rank arrays and remembered.  Chunks beyond `PLAIN`, where Unicode versions may
+    differ, are left to the library.
+    """
+
+    PLAIN = re.compile("^ ?[!-~\xa1-\u04ff]+$", re.MULTILINE).findall
+
+    def __init__(self, path: str, width: np.dtype, limit: int = MEMO_WORDS):
+        letters, digits = (_class_to(0x500, kind) for kind in "LN")
+        # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+ of these vocabularies, for lines of plain chunks
+        pattern = f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^ \\n{letters}{digits}]+|\\n"
+        self.encoder, self.split, self.width, self.limit, self.known = RankArrayEncoder(path), re.compile(pattern).findall, width, limit, {}
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether the vocabulary is one of these."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        odd = ["dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"]
+        return (
+            spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+            and model.get("type") == "BPE" and not any(model.get(k) for k in odd) and all(t["special"] for t in spec["added_tokens"])
+            and all(isinstance(m, list) for m in model["merges"]) and set(byte_alphabet()) <= set(model["vocab"])
+        )
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        """Raw ids of plain chunks."""
+        flat = self.split("\n".join(chunks))  # a line each: no plain chunk holds \n, and no piece reaches over one
+        known = self.known
+        known["\n"] = b""
+        missing = list(set(filterfalse(known.__contains__, flat)))
+        if len(known) + len(missing) > self.limit:
+            known.clear()
+            known["\n"] = b""
+            missing = list(set(flat) - {"\n"})
+        ids = self.encoder.encode_words([p.encode() for p in missing])
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) // 4 * self.width.itemsize
+        raw = np.frombuffer(b"".join(ids), dtype="<u4").astype(self.width).tobytes()
+        known.update((p, raw[a:b]) for p, a, b in zip(missing, [0, *ends.tolist()], ends.tolist()))
+        parts = list(map(known.__getitem__, flat))
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        ends = [*np.cumsum(sizes)[sizes == 0].tolist(), int(sizes.sum())]
+        raw = b"".join(parts)
+        return [raw[a:b] for a, b in zip([0, *ends], ends)] if chunks else []
+
+
 class Memo:
     """Results by chunk of text, for the chunks that come up again; starts anew when full."""
 
@@ -194,15 +259,18 @@ class Memo:
     def __call__(self, texts: list[str]) -> list[list]:
         split = [self.chunks_of(t) for t in texts]
         known = self.known
-        missing = list(set().union(*split).difference(known))
+        out = [list(map(known.get, chunks)) for chunks in split]
+        open_ = [[i for i, r in enumerate(own) if r is None] for own in out]
+        missing = list({chunks[i] for chunks, at in zip(split, open_) for i in at})
         if len(known) + len(missing) > self.limit:
             known.clear()
-            missing = list(set().union(*split))
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
             known.update(zip(part, self.compute(part)))
-        get = known.__getitem__
-        return [list(map(get, chunks)) for chunks in split]
+        for own, chunks, at in zip(out, split, open_):
+            for i in at:
+                own[i] = known[chunks[i]]
+        return out
 
     def forget(self) -> None:
         """Free the results; the encoder itself stays open."""

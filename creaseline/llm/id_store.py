@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from creaseline.llm.bpe import Memo, byte_chunks, opened
+from creaseline.llm.bpe import BytePieces, Memo, byte_chunks, opened
 from creaseline.llm.common import row_slices
 
 #: Ids per shard: a shard is closed once it holds so many (a longer document has a shard of its own).
@@ -36,8 +36,8 @@ INDEX_SCHEMA = (
 )
 
 
-def _library(path: str) -> tuple[Memo, str]:
-    def make(p: str) -> tuple[Memo, list[str]]:
+def _library(path: str) -> tuple[Memo, np.dtype]:
+    def make(p: str) -> tuple[Memo, np.dtype]:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(p)
@@ -47,14 +47,27 @@ def _library(path: str) -> tuple[Memo, str]:
         width = np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32
 
         kind = "H" if width is np.uint16 else "I"
+        pieces = BytePieces(p, np.dtype(width)) if BytePieces.fits(p) else None
 
-        def compute(chunks: list[str]) -> list[bytes]:
+        def by_library(chunks: list[str]) -> list[bytes]:
             return [array(kind, e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+        def compute(chunks: list[str]) -> list[bytes]:
+            plain = pieces.PLAIN("\n".join(chunks)) if pieces else []  # a chunk that holds \n is white space
+            ids = dict(zip(plain, pieces(plain))) if plain else {}
+            for mark in special:
+                ids.pop(mark, None)
+            rest = [c for c in chunks if c not in ids]
+            ids.update(zip(rest, by_library(rest)))
+            return [ids[c] for c in chunks]
+
         def chunks_of(text: str) -> list[str]:
             cuts = [text]
             for mark in special:  # the library matches these before it looks at spaces
-                cuts = [y for x in cuts for y in _cut_at(x, mark)]
+                if mark in text:
+                    cuts = [y for x in cuts for y in _cut_at(x, mark)]
+            if len(cuts) == 1 and text not in special:
+                return byte_chunks(text)
             return [c for x in cuts for c in ([x] if x in special else byte_chunks(x))]
 
         return Memo(compute, chunks_of), np.dtype(width)
