@@ -31,8 +31,13 @@ def _write_arrays(rows: DataFrame, path: str, per_file: int) -> None:
 
     A file for each match costs more time than the records in it.
     """
+    _write_files(rows.withColumn("file", F.expr(f"file div {per_file}")), path)
+
+
+def _write_files(rows: DataFrame, path: str) -> None:
+    """Rows of each ``file`` number as one JSON array in a folder of its own."""
     columns = [c for c in rows.columns if c != "file"]
-    arrays = rows.groupBy(F.expr(f"file div {per_file}").alias("file")).agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    arrays = rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
     arrays.write.partitionBy("file").text(path)
 
 
@@ -74,7 +79,8 @@ def _(spark, sf):
 def _(spark, sf):
     """One nested document per match, a hundred matches in a file; every ninth names three teams, which leaves no opponent."""
     root = _folder(spark, "json")
-    balls = _typed(spark, sf)
+    # All groupings below hold the file number, so balls dealt by it once cross no further exchange until they are written.
+    balls = _typed(spark, sf).withColumn("file", F.expr(f"match_id div {DOCUMENTS_PER_FILE}")).repartition("file")
     wides, noballs = F.col("is_wide").cast("double"), F.col("is_noball").cast("double")
     extras = {"wides": wides, "noballs": noballs, "byes": F.col("extras") - wides - noballs, "legbyes": F.lit(0.0), "penalty": F.lit(0.0)}
     ball = F.struct(
@@ -84,17 +90,17 @@ def _(spark, sf):
     )
     listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"])
     place = F.struct(*_FEED[3:])
-    overs = balls.groupBy("match_id", "date", "venue", "competition", "innings", "batting_team", "over").agg(listed(F.struct(place.alias("at"), ball.alias("v"))).alias("deliveries"))
-    innings = overs.groupBy("match_id", "date", "venue", "competition", "innings", "batting_team").agg(
+    overs = balls.groupBy("file", "match_id", "date", "venue", "competition", "innings", "batting_team", "over").agg(listed(F.struct(place.alias("at"), ball.alias("v"))).alias("deliveries"))
+    innings = overs.groupBy("file", "match_id", "date", "venue", "competition", "innings", "batting_team").agg(
         listed(F.struct(F.col("over").alias("at"), F.struct("deliveries").alias("v"))).alias("overs")
     )
     team = F.col("batting_team").alias("team")
-    docs = innings.groupBy("match_id", "date", "venue", "competition").agg(
+    docs = innings.groupBy("file", "match_id", "date", "venue", "competition").agg(
         listed(F.struct(F.col("innings").alias("at"), F.struct(team, "overs").alias("v"))).alias("innings"), F.sort_array(F.collect_set("batting_team")).alias("teams")
     )
     teams = F.when(F.col("match_id") % 9 == 4, F.array_append("teams", F.lit("Third"))).otherwise(F.col("teams"))
     info = F.struct(F.array(F.date_add("date", 1).cast("string"), F.col("date").cast("string")).alias("dates"), "venue", teams.alias("teams"), "competition")
-    _write_arrays(docs.select(F.col("match_id").alias("file"), info.alias("info"), "innings"), root, DOCUMENTS_PER_FILE)
+    _write_files(docs.select("file", info.alias("info"), "innings"), root)
     back = src.json_deliveries(spark, [root], suffix="txt")
     return back.groupBy("date", "venue", "competition", "batting_team", "bowling_team", "innings", "over", "ball_in_over").agg(
         F.count(F.lit(1)).alias("balls"), F.sum("runs_off_bat").alias("runs"), F.sum("extras").alias("extras"), F.sum("is_wide").alias("wides"),
